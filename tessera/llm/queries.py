@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
+from tessera.llm import language as _language
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = _language.remainder("doc_id", 5) == 0
+    model = _language.train(*map(list, zip(*_language.sample(docs, "text", "lang", ~held_out, "doc_id"), strict=True)))
+    found = _language.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_decontaminate": op9_decontaminate}
+    return {"op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
