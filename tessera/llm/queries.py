@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import language as _language
+from tessera.llm import toxicity as _toxicity
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> _toxicity.Model:
+    """The model learned from the labelled documents outside the held-out fold."""
+    rows = _toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), _toxicity.remainder("doc_id") == 1)
+    return _toxicity.train([t for t, _ in rows], [y for _, y in rows])
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _toxicity.score(load(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", (_toxicity.remainder("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = _language.remainder("doc_id", 5) == 0
@@ -24,7 +36,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
+    return {"op2_toxicity": op2_toxicity, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
