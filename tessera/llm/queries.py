@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import language as _language
+from tessera.llm import packing as _packing
 from tessera.llm import toxicity as _toxicity
 
 
@@ -27,6 +28,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_toxicity.remainder("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file is; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = _language.remainder("doc_id", 5) == 0
@@ -36,7 +48,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
+    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
