@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
+from tessera.llm import flac as _flac
 from tessera.llm import language as _language
 from tessera.llm import packing as _packing
 from tessera.llm import toxicity as _toxicity
@@ -47,8 +48,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flac.digest(_flac.store(load(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate}
+    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
