@@ -12,6 +12,13 @@ from tessera.llm import flac as _flac
 from tessera.llm import language as _language
 from tessera.llm import packing as _packing
 from tessera.llm import toxicity as _toxicity
+from tessera.llm import warc as _warc
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    folder = _warc.new_folder(pages)
+    return _warc.read_records(_warc.write_archives(pages, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
+    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
