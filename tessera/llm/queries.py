@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
+from tessera.llm import extract as _extract
 from tessera.llm import flac as _flac
 from tessera.llm import language as _language
 from tessera.llm import packing as _packing
@@ -15,6 +16,10 @@ from tessera.llm import toxicity as _toxicity
 from tessera.llm import warc as _warc
 
 
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extract.extract(load(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     folder = _warc.new_folder(pages)
@@ -60,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
+    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
