@@ -12,6 +12,7 @@ from tessera.llm import extract as _extract
 from tessera.llm import flac as _flac
 from tessera.llm import language as _language
 from tessera.llm import packing as _packing
+from tessera.llm import substrings as _substrings
 from tessera.llm import toxicity as _toxicity
 from tessera.llm import warc as _warc
 
@@ -41,6 +42,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_toxicity.remainder("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substrings.dedup(load(spark, sf_dir, "documents"), keep_text=False)
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary file is; it is never copied."""
     import public_tokenizers
@@ -65,7 +70,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
+    return {"op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
