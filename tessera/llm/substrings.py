@@ -41,7 +41,7 @@ BUCKET_LIMIT = 128 << 20
 #: Bytes of packed strings that a task collects before it sends parcels.
 PARCEL_BYTES = 24 << 20
 #: Strings, texts and words that a task remembers; forgetting some only sends more rows.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _PARCEL, _SPAN, _WINDOW = 0, 1, 2
@@ -54,7 +54,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 4 * REMEMBERED:
+        if len(self) > 5 * REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -125,13 +125,18 @@ class Parcels:
             return
         key, d, t, first, repeats, packed = zip(*self.rows, strict=True)
         key = np.array(key, np.int64)
-        numbers = [key, np.array(d, np.int64), np.array(t, np.int64), np.array(first, np.int32), np.array(repeats, np.uint8), np.array([len(x) for x in packed], np.int32)]
-        bucket = (key.view(np.uint64) % np.uint64(self.buckets)).astype(np.int64)
+        unsigned = key.view(np.uint64)
+        bucket = (unsigned % np.uint64(self.buckets)).astype(np.int64)
+        # inside a bucket 32 bits of the minimiser group well enough, as texts are compared anyway
+        short = (unsigned // np.uint64(self.buckets)).astype(np.uint32)
+        numbers = [short, np.array(d, np.int64), np.array(t, np.int32), np.array(first, np.int32), np.array(repeats, np.uint8), np.array([len(x) for x in packed], np.int32)]
         order = np.argsort(bucket, kind="stable")
         cuts = np.nonzero(np.diff(bucket[order]))[0] + 1
         for rows in np.split(order, cuts):
             head = np.array([len(rows)], np.int64).tobytes()
-            body = b"".join([head, *(x[rows].tobytes() for x in numbers), *(packed[i] for i in rows.tolist())])
+            part = [x[rows] for x in numbers]
+            part[1][1:] -= part[1][:-1].copy()  # ids mostly rise: their differences are short
+            body = b"".join([head, *(x.tobytes() for x in part), *(packed[i] for i in rows.tolist())])
             yield (_PARCEL, int(bucket[rows[0]]), 0, 0, 0, 0, self.squeeze.compress(body))
         self.rows, self.bytes = [], 0
 
@@ -140,10 +145,11 @@ def unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
     """The numbers (key, d, t, first, repeats, begin, end of the string) and the strings of a parcel."""
     body = zstd.ZstdDecompressor().decompress(data)
     n, at, out = int(np.frombuffer(body, np.int64, 1)[0]), 8, []
-    for kind in (np.int64, np.int64, np.int64, np.int32, np.uint8, np.int32):
+    for kind in (np.uint32, np.int64, np.int32, np.int32, np.uint8, np.int32):
         out.append(np.frombuffer(body, kind, n, at))
         at += out[-1].nbytes
     ends = np.cumsum(out.pop().astype(np.int64))
+    out[1] = np.cumsum(out[1])
     return [*out, np.concatenate(([0], ends[:-1])), ends], body[at:]
 
 
@@ -337,7 +343,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     by a hash of the text.  A null id comes before all others.  Other columns are ignored.
     """
     tune(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.xxhash64("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.hash("text").cast("long"))
     spans = removed_spans(base.select("d", "t", "text"), window, bucket_bytes, bucket_limit).groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = base.join(spans, ["d", "t"], "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text
