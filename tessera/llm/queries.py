@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import load
 from tessera.llm import decontaminate as _leaks
 from tessera.llm import extract as _extract
 from tessera.llm import flac as _flac
 from tessera.llm import language as _language
+from tessera.llm import lines as _lines
 from tessera.llm import packing as _packing
 from tessera.llm import substrings as _substrings
 from tessera.llm import toxicity as _toxicity
@@ -46,6 +48,11 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substrings.dedup(load(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _lines.dedup(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary file is; it is never copied."""
     import public_tokenizers
@@ -70,7 +77,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
+    return {"op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_lines": op4_lines, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
