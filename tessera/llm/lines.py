@@ -75,21 +75,21 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     ones, top = (1 << width) - 1, 1 << (width - 1)
     begin = ones ^ ((1 << (width - edits - 1)) - 1)
     at = [f"(i + {j - edits - 1})" for j in range(width)]
-    match = " + ".join(f"if({x} >= 1 and {x} <= __m and try_element_at(__p, {x}) <=> try_element_at(__q, i), {1 << j}L, 0L)" for j, x in enumerate(at))
-    edge = f"shiftright({top}L, greatest(0, i - (__m - {edits})))"
-    step = f"""if(i <= __m - {edits}, if((y.d0 & {top}L) = 0L, 1L, 0L),
+    match = " + ".join(f"if({x} >= 1 and {x} <= w.m and try_element_at(w.p, {x}) <=> try_element_at(w.q, i), {1 << j}L, 0L)" for j, x in enumerate(at))
+    edge = f"shiftright({top}L, greatest(0, i - (w.m - {edits})))"
+    step = f"""if(i <= w.m - {edits}, if((y.d0 & {top}L) = 0L, 1L, 0L),
                   if((z.hp & {edge}) <> 0L, 1L, 0L) - if((z.hn & {edge}) <> 0L, 1L, 0L))"""
     # an array of one element that is transformed gives a name to an intermediate value
-    distance = f"""aggregate(sequence(1, __n), named_struct('vp', {begin}L, 'vn', 0L, 'dist', cast({edits} as bigint)),
+    # (a column of its own would be put in wherever it is used, and the line split again for each character)
+    distance = f"""transform(array(named_struct('p', split({a}, ''), 'q', split({b}, ''), 'm', length({a}))), w ->
+      aggregate(sequence(1, length({b})), named_struct('vp', {begin}L, 'vn', 0L, 'dist', cast({edits} as bigint)),
       (s, i) -> transform(array(named_struct('eq', {match})), x ->
         transform(array(named_struct('d0', ((((x.eq & s.vp) + s.vp) ^ s.vp) | x.eq | s.vn) & {ones}L)), y ->
           transform(array(named_struct('hp', (s.vn | ~(y.d0 | s.vp)) & {ones}L, 'hn', y.d0 & s.vp)), z ->
             named_struct('vp', (z.hn | ~(shiftright(y.d0, 1) | z.hp)) & {ones}L, 'vn', shiftright(y.d0, 1) & z.hp, 'dist', s.dist + {step})
           )[0])[0])[0],
-      s -> s.dist)"""
-    named = pairs.withColumns({"__p": F.split(a, ""), "__q": F.split(b, "")}).withColumns({"__m": F.size("__p"), "__n": F.size("__q")})
-    near = f"abs(__m - __n) <= {edits} and __m > {edits} and __n > 0 and {distance} <= {edits}"
-    return named.where(near).drop("__p", "__q", "__m", "__n")
+      s -> s.dist))[0]"""
+    return pairs.where(f"abs(length({a}) - length({b})) <= {edits} and length({a}) > {edits} and length({b}) > 0 and {distance} <= {edits}")
 
 
 PLACE = ["d", "t", "pos"]
