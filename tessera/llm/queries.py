@@ -13,6 +13,7 @@ from tessera.llm import extract as _extract
 from tessera.llm import flac as _flac
 from tessera.llm import language as _language
 from tessera.llm import lines as _lines
+from tessera.llm import minhash as _minhash
 from tessera.llm import packing as _packing
 from tessera.llm import substrings as _substrings
 from tessera.llm import toxicity as _toxicity
@@ -33,6 +34,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> _toxicity.Model:
     """The model learned from the labelled documents outside the held-out fold."""
     rows = _toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), _toxicity.remainder("doc_id") == 1)
@@ -77,7 +82,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_lines": op4_lines, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
+    return {"op1_minhash": op1_minhash, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_lines": op4_lines, "op5_packing": op5_packing, "op6_language": op6_language, "op7_extract": op7_extract, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
