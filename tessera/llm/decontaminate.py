@@ -124,6 +124,15 @@ class Matcher:
         return sorted(found)
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_chars`` characters (by a hash, so a block may be somewhat longer); one at least."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_chars))
+    for b in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()]
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -142,16 +151,11 @@ def find_leaks(
     of either table are ignored.  Items are collected only in blocks of at most about ``block_chars``
     characters (one pass over the documents for each block).
     """
-    spark = docs.sparkSession
-    tune(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
+    tune(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     parts = []
-    for b in range(blocks):
-        # a longer block than its share is possible, but only by the spread of the hash
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()]
+    blocks = list(item_blocks(benchmark, item_id, item_text, block_chars))
+    for block in blocks:
 
         def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate)
@@ -164,15 +168,24 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "end_char", "error_budget"])
 
         part = source.mapInArrow(match, "doc_id long, item_id long, distance long, end_char long, error_budget long")
-        parts.append(part if blocks == 1 else saved(part))
+        parts.append(part if len(blocks) == 1 else saved(part))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark item is found, all columns kept."""
-    key = options.get("doc_id", "doc_id")
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaked, F.col(key).cast("long") == F.col("__leak"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, all columns kept (row by row, without a shuffle)."""
+    tune(docs.sparkSession)
+    at = docs.columns.index(text)
+    out = docs
+    for block in item_blocks(benchmark, item_id, item_text, block_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
