@@ -1 +1 @@
-"""Functions of the engine."""
+"""Functions: predicates, conditionals, scalar functions, optional values and functions by name."""

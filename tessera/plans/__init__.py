@@ -1 +1 @@
-"""Plans of the engine."""
+"""Plans: actions, compiled queries, data changes, stored intermediate results and the query catalogue."""

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources: declared tables, in-memory and JDBC tables, plain SQL, metadata, models and generated classes."""

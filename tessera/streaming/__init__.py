@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming of finite results: pulling rows from a query partition by partition."""
