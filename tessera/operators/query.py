@@ -69,6 +69,23 @@ class Ref:
         return F.when(self.is_defined, f(self))
 
 
+class OuterRef(Ref):
+    """The outer row of a dependent query: its columns refer to the other side of the join."""
+
+    def __init__(self, schema: T.StructType, path: str = "_1"):
+        super().__init__(schema)
+        self._path = path
+
+    def _get(self, name: str) -> Any:
+        path = f"{self._path}.`{name}`"
+        kind = self._schema[name].dataType
+        return OuterRef(kind, path) if isinstance(kind, T.StructType) else F.col(path).outer()
+
+    @property
+    def column(self) -> Column:
+        return F.col(self._path).outer()
+
+
 @dataclass(frozen=True)
 class SortKey:
     """A sort key.  NULLs are last both ways unless ``nulls_first`` says otherwise."""
@@ -129,8 +146,8 @@ def selection(found: Any) -> list[Column]:
 class Query:
     """A lazy collection of rows."""
 
-    def __init__(self, df: DataFrame, order: tuple[SortKey, ...] = (), offset: int = 0, fetch: int | None = None):
-        self._df, self._order, self._offset, self._fetch = df, order, offset, fetch
+    def __init__(self, df: DataFrame, order: tuple[SortKey, ...] = (), offset: int = 0, fetch: int | None = None, schema: T.StructType | None = None):
+        self._df, self._order, self._offset, self._fetch, self._known = df, order, offset, fetch, schema
 
     # ------------------------------------------------------------ sources
 
@@ -149,9 +166,16 @@ class Query:
 
     # ------------------------------------------------------------ state
 
+    @property
+    def _schema(self) -> T.StructType:
+        """Asked of the DataFrame once only: with references to an outer row it can't be asked any more."""
+        if self._known is None:
+            self._known = self._df.schema
+        return self._known
+
     @property
     def row(self) -> Ref:
-        return Ref(self._df.schema)
+        return Ref(self._schema)
 
     @property
     def columns(self) -> list[str]:
@@ -177,7 +201,7 @@ class Query:
 
     def _inner(self) -> Query:
         """With paging applied, the order kept for later sorting."""
-        return Query(self._flat(), self._order) if self._paged() else self
+        return Query(self._flat(), self._order, schema=self._schema) if self._paged() else self
 
     @property
     def df(self) -> DataFrame:
@@ -203,7 +227,7 @@ class Query:
 
     def filter(self, p: Callable[[Ref], Column]) -> Query:
         q = self._inner()
-        return Query(q._df.filter(p(q.row)), q._order)
+        return Query(q._df.filter(p(q.row)), q._order, schema=q._schema)
 
     with_filter = filter
 
@@ -225,9 +249,9 @@ class Query:
         return self.filter_not(p) if condition else self
 
     def flat_map(self, f: Callable[[Ref], Query]) -> Query:
-        """The rows of ``f`` for each row, as pairs.  ``f`` may use the row's columns by ``Query.outer``."""
+        """Pairs of each row and the rows of ``f`` for it; its filters and sort keys may use the outer row."""
         left = self._set().select(F.struct(*(F.col(f"`{n}`") for n in self.columns)).alias("_1"))
-        right = f(Ref(left.schema["_1"].dataType, F.col("_1").outer()))
+        right = f(OuterRef(left.schema["_1"].dataType))
         inner = right._set().select(F.struct(*(F.col(f"`{n}`") for n in right.columns)).alias("_2"))
         return Query(left.lateralJoin(inner))
 
@@ -339,7 +363,7 @@ class Query:
     def sort_by(self, key: Callable[[Ref], Any]) -> Query:
         """The new keys come first, keys of earlier sorts break their ties."""
         q = self._inner()
-        return Query(q._df, (*_keys(key(q.row)), *q._order))
+        return Query(q._df, (*_keys(key(q.row)), *q._order), schema=q._schema)
 
     def sorted(self) -> Query:
         """By all columns."""
@@ -347,11 +371,11 @@ class Query:
 
     def take(self, n: int) -> Query:
         fetch = n if self._fetch is None else min(n, self._fetch)
-        return Query(self._df, self._order, self._offset, max(0, fetch))
+        return Query(self._df, self._order, self._offset, max(0, fetch), self._schema)
 
     def drop(self, n: int) -> Query:
         fetch = None if self._fetch is None else max(0, self._fetch - n)
-        return Query(self._df, self._order, self._offset + n, fetch)
+        return Query(self._df, self._order, self._offset + n, fetch, self._schema)
 
     # ------------------------------------------------------------ unions
 
