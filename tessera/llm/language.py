@@ -91,6 +91,8 @@ class Model:
         return out / np.maximum(total, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         p = softmax(self.logits(texts) / self.temperature)
         best = p.argmax(1)
         return [(self.langs[b], float(p[i, b])) for i, b in enumerate(best)]
@@ -99,10 +101,10 @@ class Model:
 def train(texts: list[str], langs: list[str], *, seed: int = 0, epochs: int = EPOCHS, accuracy: float = 0.99) -> Model:
     """Train on all but a tenth of the rows, calibrate on that tenth.
 
-    One language alone is predicted with score 1.  No rows: ValueError.
+    One language alone is predicted with score 1.  Without rows nothing is learned and everything is ``und``.
     """
     if not texts:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)

@@ -72,7 +72,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = _language.remainder("doc_id", 5) == 0
-    model = _language.train(*map(list, zip(*_language.sample(docs, "text", "lang", ~held_out, "doc_id"), strict=True)))
+    rows = _language.sample(docs, "text", "lang", ~held_out, "doc_id")
+    model = _language.train([t for t, _ in rows], [lang for _, lang in rows])
     found = _language.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
