@@ -158,6 +158,7 @@ def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern, Pattern]
 
 def improve(bins: Counter[Pattern], capacity: int, steps: int = SEARCH_STEPS) -> Counter[Pattern]:
     """Local search between underfull bins, the emptiest first, until no exchange is left (or ``steps`` were tried)."""
+    bins = Counter(bins)
     tried: set[tuple[Pattern, Pattern]] = set()
     moved = True
     while moved and steps > 0:
