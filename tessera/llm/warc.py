@@ -29,8 +29,8 @@ ARCHIVE_BYTES = 1 << 30
 #: Neighbouring records are read at once up to this size, over gaps of at most so many bytes.
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
-#: Records of an archive are dealt to readers by stretches of this size.
-STRETCH_BYTES = 32 << 20
+#: Records of an archive are dealt to readers by stretches of this size, about one to a task.
+STRETCH_BYTES = 8 << 20
 #: Payloads smaller than this are always responses.
 MIN_REVISIT_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -157,7 +157,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """
     places = index.select("file", "offset", "length").where("file is not null")
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    dealt = places.repartition(F.col("file"), stretch).sortWithinPartitions("file", "offset")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    dealt = places.repartition(max(1, -(-total // STRETCH_BYTES)), F.col("file"), stretch).sortWithinPartitions("file", "offset")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
