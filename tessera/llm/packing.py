@@ -30,7 +30,7 @@ from tessera.llm.common import saved, slices, tune
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in one salted group, about.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 1_000
 #: Exchanges tried at most; every state of the search is a valid packing.
 SEARCH_STEPS = 20_000
 
