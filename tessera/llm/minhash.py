@@ -1,8 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 * A document's features are its runs of five words (lower case, split at white space; a shorter text is one
-  run).  A feature's weight is its count times its inverse document frequency.  Document frequencies
-  count all documents, in a fixed number of hashed buckets (``DF_BUCKETS``), so what is broadcast has a fixed size.
+  run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)) / ln(2 + N):
+  between 1 and 2, so that what a large group of copies shares doesn't become weightless against what tells them
+  apart.  Document frequencies count all documents, in a fixed number of hashed buckets (2**``DF_BITS``), so what is
+  broadcast has a fixed size.
 * 36 samples of improved consistent weighted sampling (Ioffe 2010) in 12 bands of 3: two texts with weighted
   Jaccard similarity s share a band with probability 1 - (1 - s**3)**12, 0.9998 at 0.8.
 * Equal texts are one node.  In every bucket the members are verified against its hubs (the member that shares
@@ -36,7 +38,10 @@ DF_BITS = 20
 CHUNKS = 64
 #: Members of a bucket of which all pairs across components are verified; larger ones are dealt out in blocks.
 SMALL = 24
-BLOCK = 192
+BLOCK = 96
+#: Pairs of blocks to a task, and tasks at most.
+GROUPS_TO_TASK = 4
+MAX_PARTS = 20_000
 #: Slots of the hashed semi-join that fetches candidate texts.
 SLOTS = 1 << 18
 #: Words whose hashes a worker remembers.
@@ -118,7 +123,7 @@ class Weights:
     """Inverse document frequencies, and the sampling's random variables."""
 
     def __init__(self, frequencies: np.ndarray, n: int):
-        self.idf = (np.log((1 + n) / (1 + np.minimum(frequencies, n))) + 1).astype(np.float32)
+        self.idf = (1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(2 + n)).astype(np.float32)
         self._tables = None
 
     def __getstate__(self):
@@ -244,7 +249,9 @@ def verify_blocks(members: DataFrame, texts: DataFrame, weights: Weights, simila
     own = lambda n: F.pmod(F.xxhash64("v", "key"), F.col(n)).cast("int")
     left = sized.where("outside").select("key", "v", "root", F.lit(True).alias("left"), own("ob").alias("o"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
     right = sized.select("key", "v", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("o"), own("mb").alias("m"))
-    dealt = left.unionByName(right).join(texts.select("v", "text"), "v").select("key", "o", "m", "left", "v", "root", "text").repartition("key", "o", "m").sortWithinPartitions("key", "o", "m")
+    groups = sizes.agg(F.sum(F.col("mb") * F.col("ob"))).first()[0] or 0
+    parts = max(1, min(MAX_PARTS, -(-groups // GROUPS_TO_TASK)))
+    dealt = left.unionByName(right).join(texts.select("v", "text"), "v").select("key", "o", "m", "left", "v", "root", "text").repartition(parts, "key", "o", "m").sortWithinPartitions("key", "o", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
