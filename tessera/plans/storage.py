@@ -18,8 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process has stored.
+_paths: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that ``stored`` has written; results that still read them are lost.  How many there were."""
+    for path in _paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    n = len(_paths)
+    _paths.clear()
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: survives lost executors, and columns are read as needed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

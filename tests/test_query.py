@@ -210,3 +210,13 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "EqualTo(k,3)" in plan
     assert "unused" not in plan
     assert "Python" not in plan
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from tessera.plans import storage
+
+    df = storage.stored(spark.range(5))
+    assert df.count() == 5
+    path = storage._paths[-1].removeprefix("file://")
+    assert storage.clear(spark) >= 1 and not __import__("os").path.exists(path)
+    assert storage.clear(spark) == 0
