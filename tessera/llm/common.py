@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.storage import shared_dir, stored
 
-__all__ = ["load", "saved", "shared_dir", "slices", "stored", "tune"]
+__all__ = ["load", "saved", "shared_dir", "slices", "stored", "tidy", "tune"]
 
 #: Rows in one Arrow batch.  Texts may be long, so the batches are kept small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,11 +36,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on from task to task and stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before the first and after the last of them memory is given back."""
+    release()
+    yield from batches
+    release()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``max_bytes`` in each (one row at least)."""
     import pyarrow.compute as pc
 
-    for batch in batches:
+    for batch in tidy(batches):
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, tune
+from tessera.llm.common import saved, tidy, tune
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.08
@@ -162,7 +162,7 @@ def find_leaks(
             lengths = {}
             for n in matcher.items.values():
                 lengths.setdefault(n[0], n[2])
-            for batch in batches:
+            for batch in tidy(batches):
                 out = [(d, i, dist, end, lengths[i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, dist, end in matcher.matches(t)]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "end_char", "error_budget"])
@@ -184,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate)
-            for batch in batches:
+            for batch in tidy(batches):
                 yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)

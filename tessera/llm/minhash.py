@@ -28,7 +28,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, stored, tune
+from tessera.llm.common import slices, stored, tidy, tune
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -45,7 +45,9 @@ MAX_PARTS = 20_000
 #: Slots of the hashed semi-join that fetches candidate texts.
 SLOTS = 1 << 18
 #: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Features of documents that a verifying worker remembers.
+KNOWN_FEATURES = 1_000_000
 SEED = 20100
 
 
@@ -223,14 +225,17 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         known: dict[bytes, Features] = {}
+        sum_known = 0
         for batch in slices(batches, "text_b", 2_000_000):
             links = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(known) > 500:
+                if sum_known > KNOWN_FEATURES:
                     known.clear()
+                    sum_known = 0
                 for v, t in ((a, ta), (b, tb)):
                     if v not in known:
                         known[v] = Features(t, weights, hashes)
+                        sum_known += len(known[v].ids)
                 if known[a].similarity(known[b], similarity) >= similarity:
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in range(2)], names=["a", "b"])
@@ -279,7 +284,7 @@ def verify_blocks(members: DataFrame, texts: DataFrame, weights: Weights, simila
         def out(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in range(2)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in tidy(batches):
             for key, o, m, left, v, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, o, m) != now:
                     yield out(close())

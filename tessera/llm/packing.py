@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,12 @@ class ByteTokenizer:
         return ids.tobytes()
 
 
+@lru_cache(2)
+def shared_tokenizer(path: str) -> ByteTokenizer:
+    """One for all tasks of a worker."""
+    return ByteTokenizer(path)
+
+
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of each piece of n tokens: the first may be shorter, all others are full."""
     first = n % capacity or capacity
@@ -90,8 +97,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(tokenizer_path)
-        for batch in slices(batches, "t", 4_000_000):
+        tokenizer = shared_tokenizer(tokenizer_path)
+        for batch in slices(batches, "t", 1_000_000):
             cols: list[list] = [[] for _ in names]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokenizer.encode(t or "") + end

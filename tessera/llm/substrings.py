@@ -31,7 +31,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, slices, tune
+from tessera.llm.common import saved, slices, tidy, tune
 
 WINDOW = 20
 GROUP = 3
@@ -291,7 +291,7 @@ class Bucket:
 def count(batches: Iterator[pa.RecordBatch], window: int = WINDOW, limit: int = BUCKET_LIMIT) -> Iterator[pa.RecordBatch]:
     """Parcels sorted by bucket to removed spans; groups that a bucket can't hold come out as windows."""
     now, bucket, out = None, Bucket(window, limit), []
-    for part in batches:
+    for part in tidy(batches):
         for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if row[0] == _SPAN:
                 out.append(row)

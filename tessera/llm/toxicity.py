@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, tune
+from tessera.llm.common import slices, tidy, tune
 
 WINDOW = 8
 #: Bounds of the training sample: labelled rows of each class, and characters of all.
@@ -223,7 +223,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             texts = batch.column(at).to_pylist()
