@@ -10,7 +10,8 @@
 * Equal texts are one node.  In every bucket the members are verified against its hubs (the member that shares
   most buckets and two others); links make components.  In a bucket whose members are not all in one component by then,
   what could still join two of them is verified too: all pairs across components in a small bucket, and in
-  a large one everything outside its main component against all members, dealt out in blocks.  So each pair
+  a large one everything outside its main component against all members, dealt out in blocks (once for
+  all buckets of that component).  So each pair
   that shares a band is verified unless its documents are in one class already, and no group's pairs are
   spelled out.
 * Verification computes the weighted Jaccard similarity of the whole texts.
@@ -244,7 +245,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
 
 
 def verify_blocks(members: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Links between the outsiders and all members of large buckets: ``members`` has key, v, root, outside.
+    """Links between the outsiders and all members of large groups: ``members`` has key (the group), v, root, outside.
 
     A task compares a block of outsiders with a block of members; of the links between two components it
     returns one.
@@ -328,11 +329,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     placed = member.join(roots, "v", "left").select("key", "n", "v", F.coalesce("root", "v").alias("root"))
     counted = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = counted.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed_ = stored(placed.join(main, "key").select("key", "n", "v", "root", (F.col("root") != F.col("main")).alias("outside")))
+    mixed_ = stored(placed.join(main, "key").select("key", "n", "v", "root", "main", (F.col("root") != F.col("main")).alias("outside")))
     few = mixed_.where(F.col("n") <= SMALL)
     a, b = few.alias("a"), few.alias("b")
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.v") < F.col("b.v")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    more = stored(verify(across, texts, weights, similarity).unionByName(verify_blocks(mixed_.where(F.col("n") > SMALL).drop("n"), texts, weights, similarity)))
+    # the large buckets of one main component hold much the same documents: each is dealt out once for all of them
+    large = mixed_.where(F.col("n") > SMALL).select(F.col("main").alias("key"), "v", "root", "outside").distinct()
+    more = stored(verify(across, texts, weights, similarity).unionByName(verify_blocks(large, texts, weights, similarity)))
     if more.isEmpty():
         final = roots
     else:
