@@ -17,6 +17,7 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +33,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in one salted group, about.
 GROUP_ROWS = 1_000
-#: Exchanges tried at most; every state of the search is a valid packing.
-SEARCH_STEPS = 20_000
 
 #: How the byte-level BPE cuts a text into words (fixed value, it belongs to the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -163,37 +162,109 @@ def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern, Pattern]
     return tuple(sorted(ca.elements(), reverse=True)), tuple(sorted(cb.elements(), reverse=True))
 
 
-def improve(bins: Counter[Pattern], capacity: int, steps: int = SEARCH_STEPS) -> Counter[Pattern]:
-    """Local search between underfull bins, the emptiest first, until no exchange is left (or ``steps`` were tried)."""
-    bins = Counter(bins)
-    tried: set[tuple[Pattern, Pattern]] = set()
-    moved = True
-    while moved and steps > 0:
-        moved = False
-        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
-        for a in under:
-            for b in reversed(under):
-                if a == b and bins[a] < 2 or (a, b) in tried or not bins[a] or not bins[b]:
-                    continue
-                steps -= 1
-                found = _exchange(a, b, capacity)
-                if found is None:
-                    tried.add((a, b))
-                    continue
-                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                bins[a] -= times
-                bins[b] -= times
-                for p in found:
-                    if p:
-                        bins[p] += times
-                for p in (a, b):
-                    if not bins[p]:
-                        del bins[p]
-                moved = True
-                break
-            if moved or steps <= 0:
-                break
-    return +bins
+def _sums(pattern: Pattern) -> tuple[int, int]:
+    """The lengths in a bin, and the sums of two of its documents, each as the bits of a number."""
+    counts = Counter(pattern)
+    one = sum(1 << n for n in counts)
+    two = 0
+    for n, c in counts.items():
+        two |= (one if c > 1 else one ^ (1 << n)) << n
+    return one, two
+
+
+def _shifted(x: int, low: int, high: int) -> int:
+    """The bits of ``x >> d`` for all d from ``low`` to ``high`` together."""
+    x >>= low
+    done = 1
+    while done <= high - low:
+        step = min(done, high - low + 1 - done)
+        x |= x >> step
+        done += step
+    return x
+
+
+def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Local search between underfull bins, the emptiest first, until no exchange is left.
+
+    Whether two patterns have an exchange depends on them alone, so a pattern that was compared with all
+    others is compared only with those that have come up since.
+    """
+    bins = Counter(+bins)
+    births: list[int] = []  # ascending, of the patterns in ``born``
+    born: list[Pattern] = []
+    birth: dict[Pattern, int] = {}
+    masks: dict[Pattern, tuple[int, int, int, int]] = {}  # fill, room, lengths, sums of two
+    seen: dict[Pattern, int] = {}  # compared with all that were born up to then
+    alone: set[Pattern] = set()  # compared with itself
+    order: list[tuple[int, Pattern]] = []
+    clock = 0
+
+    def enter(p: Pattern) -> None:
+        nonlocal clock
+        fill = sum(p)
+        if fill >= capacity or p in birth:
+            return
+        clock += 1
+        birth[p], seen[p] = clock, 0
+        births.append(clock)
+        born.append(p)
+        masks[p] = (fill, capacity - fill, *_sums(p))
+        insort(order, (fill, p))
+
+    def leave(p: Pattern) -> None:
+        alone.discard(p)
+        del birth[p], seen[p], masks[p], order[bisect_left(order, (sum(p), p))]
+
+    def partner(a: Pattern) -> Pattern | None:
+        fill_a, _, one, two = masks[a]
+        takes: dict[int, tuple[int, int]] = {}  # by fill of the other: what it may give back for one or for two
+
+        def possible(b: Pattern) -> bool:
+            fill_b, room, back_one, back_two = masks[b]
+            low = max(0, fill_a - fill_b) + 1
+            if room < low:
+                return False
+            if fill_b not in takes:
+                takes[fill_b] = _shifted(one, low, room), _shifted(two, low, room)
+            for_one, for_two = takes[fill_b]
+            return bool(for_one & (1 | back_one | back_two) or for_two & (1 | back_one))
+
+        if bins[a] > 1 and a not in alone:
+            if possible(a):
+                return a
+            alone.add(a)
+        fresh = {p for p in born[bisect_right(births, seen[a]) :] if p in birth and p != a}
+        hits = [p for p in fresh if possible(p)]
+        if hits:
+            return max(hits, key=lambda p: (masks[p][0], p))
+        seen[a] = clock
+        return None
+
+    for p in sorted(bins):
+        enter(p)
+    at = 0
+    while at < len(order):
+        a = order[at][1]
+        b = partner(a) if seen[a] < clock or (bins[a] > 1 and a not in alone) else None
+        if b is None:
+            at += 1
+            continue
+        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        found = _exchange(a, b, capacity)
+        bins[a] -= times
+        bins[b] -= times
+        for p in found:
+            if p:
+                bins[p] += times
+                enter(p)
+        for p in {a, b}:
+            if not bins[p]:
+                del bins[p]
+                leave(p)
+        if len(born) > 2 * len(birth) + 1000:
+            births[:], born[:] = zip(*sorted((t, p) for p, t in birth.items()), strict=True)
+        at = 0
+    return bins
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -41,6 +41,14 @@ def test_local_search_empties_bins():
     assert sum(packing.improve(start, 10).values()) < sum(start.values())
 
 
+def test_local_search_runs_until_no_exchange_is_left():
+    r = random.Random(4)
+    histogram = Counter(r.randint(250, 700) for _ in range(3000))
+    bins = packing.improve(packing.first_packing(histogram, 1024), 1024)
+    under = [p for p in bins if sum(p) < 1024]
+    assert not any((a != b or bins[a] > 1) and packing._exchange(a, b, 1024) for a in under for b in under)
+
+
 def test_cut():
     assert list(packing.cut(1, 8)) == [(0, 1)]
     assert list(packing.cut(8, 8)) == [(0, 8)]
