@@ -1,7 +1,8 @@
 """Line dedup as a segment-partition edit join, in DataFrame operations only.
 
 A line goes if a line that starts earlier in the corpus (smaller doc_id, then earlier in the document) differs
-from it by at most ``max_edits`` edits; lines are judged on the input.  Lines under ``min_chars`` characters stay.
+from it by at most ``max_edits`` edits; lines are judged on the input.  Lines under ``min_chars`` characters have no
+edit matches.  With ``short_repeats`` those that aren't blank go if they are equal to an earlier one; else they stay.
 
 1. Equal lines are one: a line is known by two 64-bit hashes and the place of its first occurrence.
 2. A line of length l is cut into ``max_edits + 1`` segments.  Of a line within ``max_edits`` edits at least one
@@ -104,10 +105,12 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("d", "t", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
 
 
-def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """The place of the first occurrence of each line that is long enough, with the line's keys."""
-    lines = exploded(docs).where(F.length(F.trim("line")) >= min_chars).withColumn("length", F.length("line"))
+def distinct_lines(docs: DataFrame, max_edits: int, min_chars: int, least: int) -> DataFrame:
+    """The place of the first occurrence of each line of ``least`` characters, with its keys (null for a line under ``min_chars``)."""
+    lines = exploded(docs).where(F.length(F.trim("line")) >= least).withColumn("length", F.length("line"))
     made = keys(F.col("line"), F.col("length"), max_edits)
+    if least < min_chars:
+        made = [(own, i, F.when(F.length(F.trim("line")) >= min_chars, k)) for own, i, k in made]
     rows = lines.select(
         F.xxhash64("line").alias("h"),
         F.xxhash64(F.lit("line"), "line").alias("g"),
@@ -156,7 +159,7 @@ def candidates(docs: DataFrame, first: DataFrame, max_edits: int, crowd: int) ->
     return plain.unionByName(starred).distinct(), texts
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD, short_repeats: bool = False) -> DataFrame:
     """``docs`` with ``text`` without repeated lines, and n_lines and n_removed; all other columns are kept.
 
     A null text stays null and an empty one empty (both one line).  Rows with the same id and text are one document
@@ -167,7 +170,8 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_ed
         raise ValueError("max_edits is 1 to 8 and min_chars more than that")
     keyed = docs.drop("n_lines", "n_removed").withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64(text)})
     base = keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text).alias("text"))
-    first = stored(distinct_lines(base, max_edits, min_chars))
+    least = 1 if short_repeats else min_chars
+    first = stored(distinct_lines(base, max_edits, min_chars, least))
     pairs, texts = candidates(base, first, max_edits, crowd)
     named = pairs.select("a", "b").join(texts.select(F.struct(*PLACE).alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.struct(*PLACE).alias("b"), F.col("line").alias("line_b")), "b")
     later = stored(within(named, "line_a", "line_b", max_edits).select(F.greatest("a", "b").alias("p")).distinct().select("p.*"))
@@ -178,7 +182,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_ed
     stays = bits(first, "first").join(bits(later, "later"), ["d", "t", "word"], "left").select("d", "t", "word", F.col("first").bitwiseAND(F.bitwise_not(F.coalesce("later", F.lit(0).cast("long")))).alias("bits"))
     by_doc = stays.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__bits"))
     joined = keyed.join(by_doc, ["__d", "__t"], "left").withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    kept = F.filter("__lines", lambda x, i: (F.length(F.trim(x)) < min_chars) | (F.getbit(F.coalesce(F.try_element_at("__bits", F.floor(i / WORD).cast("int")), F.lit(0).cast("long")), i % WORD) == 1))
+    kept = F.filter("__lines", lambda x, i: (F.length(F.trim(x)) < least) | (F.getbit(F.coalesce(F.try_element_at("__bits", F.floor(i / WORD).cast("int")), F.lit(0).cast("long")), i % WORD) == 1))
     out = joined.withColumn("__kept", kept)
     values = {text: F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n")), "n_lines": F.size("__lines").cast("long"), "n_removed": (F.size("__lines") - F.size("__kept")).cast("long")}
     return out.select(*(values[c].alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), values["n_lines"].alias("n_lines"), values["n_removed"].alias("n_removed"))

@@ -64,6 +64,17 @@ def test_removes_what_brute_force_removes(spark, edits, crowd):
     assert got == brute(rows, edits)
 
 
+def test_exact_repeats_of_short_lines(spark):
+    import corpus_pipeline
+
+    text = "Les.\n\n  \nLes.\nLes,\na line that is long enough to count"
+    docs = spark.createDataFrame([(1, text, 0), (2, "x\nLes.\n\na line that is long enough to count.\nx", 0)], "doc_id long, text string, n_chars long")
+    kept = {1: "Les.\n\n  \nLes,\na line that is long enough to count", 2: "x\n"}
+    assert {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == kept
+    assert {x.doc_id: x.n_removed for x in lines.dedup(docs).collect()} == {1: 0, 2: 1}
+    assert {x.doc_id: x.n_removed for x in lines.dedup(docs, short_repeats=True, max_edits=2).collect()} == {1: 1, 2: 3}
+
+
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough to count\n" * 3)], "doc_id long, text string")
     assert "Python" not in lines.dedup(docs)._jdf.queryExecution().executedPlan().toString()
