@@ -28,8 +28,6 @@ GRAMS = (2, 3, 4)
 #: Bounds of the training sample: rows of each language, and characters of all.
 SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000_000
-#: Languages learned at most (the most frequent ones).
-MAX_LANGS = 200
 EPOCHS = 4
 UNKNOWN = "und"
 
@@ -150,17 +148,16 @@ def train(texts: list[str], langs: list[str], *, seed: int = 0, epochs: int = EP
 
 
 def sample(docs: DataFrame, text: str, lang: str, where: Column, doc_id: str) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: by a hash of the id, about as many of each language."""
+    """A bounded sample of labelled rows: by a hash of the id, about as many of each language; no language is left out."""
     rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("c")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()
+    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("c")).collect()
     if not counts:
         return []
     share = SAMPLE_CHARS / len(counts)
-    keep = F.lit(False)
-    for r in counts:
-        part = min(1.0, SAMPLE_ROWS / r.n, share / max(1, r.c))
-        keep |= (F.col(lang) == r.l) & (F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
-    found = rows.where(keep).select(text, lang).collect()
+    below = [(r.l, int(min(1.0, SAMPLE_ROWS / r.n, share / max(1, r.c)) * 1_000_000) + 1) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(below, "__lang string, __below long")
+    at = F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1_000_000))
+    found = rows.join(F.broadcast(bounds), (F.col(lang) == F.col("__lang")) & (at < F.col("__below"))).select(text, lang).collect()
     return sorted((r[0], r[1]) for r in found)
 
 

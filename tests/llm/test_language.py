@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from tessera.llm import language
 
 STEMS = {"xx": "ba be bi bo bu da de di".split(), "yy": "zor zar zur kor kar kur".split(), "zz": "éli éla élo ñan ñen ñon".split()}
@@ -47,3 +49,8 @@ def test_sample_leaves_the_held_out_fold_alone(spark):
     docs = spark.createDataFrame([(i, f"text {i}", None if i % 7 == 0 else "xx") for i in range(100)], "doc_id long, text string, lang string")
     got = language.sample(docs, "text", "lang", ~(language.remainder("doc_id", 5) == 0), "doc_id")
     assert got == sorted((f"text {i}", "xx") for i in range(100) if i % 7 and zlib.crc32(str(i).encode()) % 5)
+
+
+def test_sample_learns_every_language(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"lang-{i % 250}") for i in range(500)], "doc_id long, text string, lang string")
+    assert {lang for _, lang in language.sample(docs, "text", "lang", F.lit(True), "doc_id")} == {f"lang-{k}" for k in range(250)}
