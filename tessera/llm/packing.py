@@ -4,12 +4,13 @@
    all others are full and each is a sequence of its own.
 2. Of the rest only the lengths matter.  Their histogram has at most ``capacity - 1`` numbers however many
    documents there are; bins of equal content are one pattern with a multiplicity, so packing happens on the
-   driver in memory that doesn't grow with the data.  A first packing, largest first, is improved by local
-   search: documents are moved, exchanged one for one, or two for one between underfull bins as long as the
-   sum of squared fills grows, which empties bins.  An exchange is made in as many bins as both patterns have.
+   driver in memory that doesn't grow with the data.  A plain packing in the order of the lengths is improved by
+   local search: documents are moved, exchanged one for one, or two for one between underfull bins as long as the
+   sum of squared fills grows, which empties bins.  Partners are looked up by the difference that is needed, and
+   an exchange is made in as many bins as both patterns have.
 3. Every piece gets its rank among the pieces of its length, and by length and rank its bin and place.  Ranks
-   come from salted groups (as many as a length's count asks for) and running totals of their sizes, so
-   a length with very many pieces is dealt out too.
+   come from salted groups (a group and the number of a length's groups grow with the square root of its
+   count) and running totals of their sizes, so a length with very many pieces is dealt out too.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from tessera.llm.common import saved, slices, tune
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length in one salted group, about.
-GROUP_ROWS = 1_000
+#: Pieces of one length in one salted group, about (the square root of their number, if that is more).
+GROUP_ROWS = 200
 
 #: How the byte-level BPE cuts a text into words (fixed value, it belongs to the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -46,22 +48,28 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteTokenizer:
-    """The byte-level BPE of a ``tokenizers`` file, without special tokens.
+    """The byte-level BPE of a ``tokenizers`` file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives it.
 
     The vocabulary is read from the file.  Its ids are the ranks of its merges, so tiktoken's merge loop gives
-    the same ids in a fraction of the time; that is checked on loading.
+    the same ids in a fraction of the time; that is checked on loading.  A special token's string in a text is that
+    token's id, as an unchanged ``Tokenizer`` reads it; with ``special`` false it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         reader = Tokenizer.from_file(path)
-        reader.encode_special_tokens = True
+        reader.encode_special_tokens = not special
         alphabet = byte_alphabet()
-        special = {t.content for t in reader.get_added_tokens_decoder().values()}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in reader.get_vocab().items() if token not in special}
-        self._encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = reader.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or any(o.content != t.content and o.content.startswith(t.content) for o in added.values()) for t in added.values()):
+            raise ValueError(f"{path} has special tokens that are more than their strings")
+        special_ids = {t.content: i for i, t in added.items()}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in reader.get_vocab().items() if token not in special_ids}
+        encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special_ids)
+        allowed = set(special_ids)
+        self._encode = (lambda text: encoding.encode(text, allowed_special=allowed, disallowed_special=())) if special else encoding.encode_ordinary
         probe = "Don't stop:  it's\n\n 12,345 \u00e9t\u00e9s \u4f60\u597d \t<|endoftext|> ok"
         if self._encode(probe) != reader.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} is no byte-level BPE whose ids are ranks")
@@ -115,156 +123,154 @@ Pattern = tuple[int, ...]
 
 
 def first_packing(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Bins by pattern: the largest length first, then again and again the largest that still fits."""
-    left = {n: c for n, c in sorted(histogram.items(), reverse=True) if c}
-    order = list(left)
+    """A plain packing by pattern: documents in the order of their lengths, a new bin where the next one doesn't fit."""
     bins: Counter[Pattern] = Counter()
-    while order:
-        pattern, room = [], capacity
-        use: Counter[int] = Counter()
-        for n in order:
-            if n <= room:
-                k = min(room // n, left[n])
-                use[n] = k
-                pattern += [n] * k
-                room -= n * k
-        times = min(left[n] // k for n, k in use.items())
-        bins[tuple(pattern)] += times
-        for n, k in use.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-        order = list(left)
-    return bins
-
-
-def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern, Pattern] | None:
-    """A move or exchange that makes the fuller bin ``b`` fuller at ``a``'s cost, the largest there is."""
-    room = capacity - sum(b)
-    if room <= 0:
-        return None
-    fill_a, fill_b = sum(a), sum(b)
-    best = None  # (gain of b, given by a, given by b)
-    xs, ys = sorted(set(a)), sorted(set(b))
-    pairs_a = {x + y: (x, y) for i, x in enumerate(a) for y in a[i + 1 :]}
-    pairs_b = {x + y: (x, y) for i, x in enumerate(b) for y in b[i + 1 :]}
-    give_a = {x: (x,) for x in xs} | {s: p for s, p in pairs_a.items() if s not in xs}
-    give_b = {0: ()} | {y: (y,) for y in ys} | {s: p for s, p in pairs_b.items() if s not in ys}
-    for s, given in give_a.items():
-        for t, back in give_b.items():
-            d = s - t
-            if 0 < d <= room and len(given) + len(back) <= 3 and fill_b + d > fill_a and (best is None or d > best[0]):
-                best = (d, given, back)
-    if best is None:
-        return None
-    _, given, back = best
-    ca, cb = Counter(a) - Counter(given) + Counter(back), Counter(b) - Counter(back) + Counter(given)
-    return tuple(sorted(ca.elements(), reverse=True)), tuple(sorted(cb.elements(), reverse=True))
-
-
-def _sums(pattern: Pattern) -> tuple[int, int]:
-    """The lengths in a bin, and the sums of two of its documents, each as the bits of a number."""
+    now, room = [], capacity
+    for n, count in sorted(histogram.items(), reverse=True):
+        k = min(count, room // n)
+        now, room, count = now + [n] * k, room - n * k, count - k
+        if not count:
+            continue
+        if now:
+            bins[tuple(now)] += 1
+        per = capacity // n
+        bins[(n,) * per] += count // per
+        now, room = [n] * (count % per), capacity - n * (count % per)
+    if now:
+        bins[tuple(now)] += 1
+    return +bins
+
+
+_NONE = 1 << 30
+
+
+class Reach:
+    """What underfull bins can take in: by reach (their room plus what they give back) what they give and who they are.
+
+    A bin that gives ``t`` back and takes ``s`` in leaves ``reach - s`` tokens free and gains if ``t < s``.  So the best
+    partner for ``s`` stands at the least reach from ``s`` on whose least ``t`` is under ``s``.
+    """
+
+    def __init__(self, capacity: int):
+        self.at: list[dict[int, dict[Pattern, None]]] = [{} for _ in range(2 * capacity + 1)]
+        self.least = np.full(3 * capacity + 2, _NONE, np.int64)
+
+    def add(self, reach: int, t: int, p: Pattern) -> None:
+        self.at[reach].setdefault(t, {})[p] = None
+        self.least[reach] = min(t, self.least[reach])
+
+    def drop(self, reach: int, t: int, p: Pattern) -> None:
+        who = self.at[reach][t]
+        del who[p]
+        if not who:
+            del self.at[reach][t]
+            if self.least[reach] == t:
+                self.least[reach] = min(self.at[reach], default=_NONE)
+
+
+def _gifts(pattern: Pattern) -> tuple[list[int], dict[int, Pattern]]:
+    """The lengths in a bin, and by their sum two of its documents (sums that are a length too are left out)."""
     counts = Counter(pattern)
-    one = sum(1 << n for n in counts)
-    two = 0
-    for n, c in counts.items():
-        two |= (one if c > 1 else one ^ (1 << n)) << n
-    return one, two
+    one, two = list(counts), {}
+    for i, x in enumerate(one):
+        if counts[x] > 1:
+            two.setdefault(2 * x, (x, x))
+        for y in one[i + 1 :]:
+            two.setdefault(x + y, (x, y))
+    return one, {s: xy for s, xy in two.items() if s not in counts}
 
 
-def _shifted(x: int, low: int, high: int) -> int:
-    """The bits of ``x >> d`` for all d from ``low`` to ``high`` together."""
-    x >>= low
-    done = 1
-    while done <= high - low:
-        step = min(done, high - low + 1 - done)
-        x |= x >> step
-        done += step
-    return x
+def _without(pattern: Pattern, gone: Pattern, new: Pattern) -> Pattern:
+    return tuple(sorted((Counter(pattern) - Counter(gone) + Counter(new)).elements(), reverse=True))
 
 
 def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Local search between underfull bins, the emptiest first, until no exchange is left.
 
-    Whether two patterns have an exchange depends on them alone, so a pattern that was compared with all
-    others is compared only with those that have come up since.
+    A bin gives one document, or two, and gets back none, one, or (for one) two shorter in sum, wherever the
+    sum of squared fills grows; of its exchanges the one is made that leaves its partner least room, in as many bins
+    as both patterns have.  Every exchange raises that sum, so the search ends; nothing caps it.
     """
     bins = Counter(+bins)
-    births: list[int] = []  # ascending, of the patterns in ``born``
-    born: list[Pattern] = []
-    birth: dict[Pattern, int] = {}
-    masks: dict[Pattern, tuple[int, int, int, int]] = {}  # fill, room, lengths, sums of two
-    seen: dict[Pattern, int] = {}  # compared with all that were born up to then
-    alone: set[Pattern] = set()  # compared with itself
-    order: list[tuple[int, Pattern]] = []
-    clock = 0
+    for_one, for_two = Reach(capacity), Reach(capacity)  # what is given back for one document, and for two
+    known: dict[Pattern, tuple[int, list[int], dict[int, Pattern]]] = {}  # underfull patterns: fill and gifts
+
+    def places(p: Pattern) -> Iterator[tuple[Reach, int, int]]:
+        fill, one, two = known[p]
+        for t in (0, *one):
+            yield for_one, capacity - fill + t, t
+            yield for_two, capacity - fill + t, t
+        for t in two:
+            yield for_one, capacity - fill + t, t
 
     def enter(p: Pattern) -> None:
-        nonlocal clock
-        fill = sum(p)
-        if fill >= capacity or p in birth:
-            return
-        clock += 1
-        birth[p], seen[p] = clock, 0
-        births.append(clock)
-        born.append(p)
-        masks[p] = (fill, capacity - fill, *_sums(p))
-        insort(order, (fill, p))
+        if p not in known and sum(p) < capacity:
+            known[p] = (sum(p), *_gifts(p))
+            for index, reach, t in places(p):
+                index.add(reach, t, p)
 
     def leave(p: Pattern) -> None:
-        alone.discard(p)
-        del birth[p], seen[p], masks[p], order[bisect_left(order, (sum(p), p))]
-
-    def partner(a: Pattern) -> Pattern | None:
-        fill_a, _, one, two = masks[a]
-        takes: dict[int, tuple[int, int]] = {}  # by fill of the other: what it may give back for one or for two
-
-        def possible(b: Pattern) -> bool:
-            fill_b, room, back_one, back_two = masks[b]
-            low = max(0, fill_a - fill_b) + 1
-            if room < low:
-                return False
-            if fill_b not in takes:
-                takes[fill_b] = _shifted(one, low, room), _shifted(two, low, room)
-            for_one, for_two = takes[fill_b]
-            return bool(for_one & (1 | back_one | back_two) or for_two & (1 | back_one))
-
-        if bins[a] > 1 and a not in alone:
-            if possible(a):
-                return a
-            alone.add(a)
-        fresh = {p for p in born[bisect_right(births, seen[a]) :] if p in birth and p != a}
-        hits = [p for p in fresh if possible(p)]
-        if hits:
-            return max(hits, key=lambda p: (masks[p][0], p))
-        seen[a] = clock
-        return None
+        if p in known:
+            for index, reach, t in places(p):
+                index.drop(reach, t, p)
+            del known[p]
+
+    def exchange(a: Pattern) -> tuple[Pattern, Pattern, Pattern] | None:
+        """(partner, given, given back): the exchange of ``a`` that leaves its partner least room."""
+        fill, one, two = known[a]
+        best, free = None, capacity - fill  # with as much room left as ``a`` has the squares don't grow
+        for s, given, index in [*((s, (s,), for_one) for s in one), *((s, xy, for_two) for s, xy in two.items())]:
+            good = index.least[s : s + free] < s
+            k = int(good.argmax()) if free else 0
+            if free and good[k]:
+                best, free = (s, given, index), k
+        if best is None:
+            return None
+        s, given, index = best
+        t = int(index.least[s + free])
+        b = next(iter(index.at[s + free][t]))
+        return b, given, () if not t else (t,) if t in b else known[b][2][t]
 
     for p in sorted(bins):
         enter(p)
-    at = 0
-    while at < len(order):
-        a = order[at][1]
-        b = partner(a) if seen[a] < clock or (bins[a] > 1 and a not in alone) else None
-        if b is None:
-            at += 1
-            continue
-        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        found = _exchange(a, b, capacity)
-        bins[a] -= times
-        bins[b] -= times
-        for p in found:
-            if p:
-                bins[p] += times
-                enter(p)
-        for p in {a, b}:
-            if not bins[p]:
-                del bins[p]
-                leave(p)
-        if len(born) > 2 * len(birth) + 1000:
-            births[:], born[:] = zip(*sorted((t, p) for p, t in birth.items()), strict=True)
-        at = 0
-    return bins
+    changed = True
+    while changed:
+        changed = False
+        heap = sorted((fill, p) for p, (fill, _, _) in known.items())
+        while heap:
+            _, a = heappop(heap)
+            if a not in known:
+                continue
+            own = known[a]
+            if bins[a] == 1:  # not its own partner
+                leave(a)
+                known[a] = own
+                found = exchange(a)
+                del known[a]
+                enter(a)
+            else:
+                found = exchange(a)
+            if found is None:
+                continue
+            changed = True
+            b, given, back = found
+            times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+            bins[a] -= times
+            bins[b] -= times
+            after = {_without(a, given, back), _without(b, back, given)}
+            for p in (_without(a, given, back), _without(b, back, given)):
+                if p:
+                    bins[p] += times
+            for p in {a, b}:
+                if not bins[p]:
+                    del bins[p]
+                    leave(p)
+            for p in sorted({a, b} | after):
+                if bins[p]:
+                    enter(p)
+                    if p in known:
+                        heappush(heap, (known[p][0], p))
+    return +bins
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -293,7 +299,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = plan(histogram, capacity)
     salts = np.ones(capacity, np.int64)
     for n, c in histogram.items():
-        salts[n] = -(-c // GROUP_ROWS)
+        salts[n] = -(-c // max(GROUP_ROWS, isqrt(c)))
     salted = rest.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.array(*map(F.lit, salts.tolist())), F.col("length").cast("int") + 1)))
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")

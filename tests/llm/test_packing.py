@@ -16,9 +16,9 @@ def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     reader = Tokenizer.from_file(PATH)
-    reader.encode_special_tokens = True
     mine, r = packing.ByteTokenizer(PATH), random.Random(1)
-    texts = ["", " ", "a  b\n\n c\t", "don't I'LL we've", "<|endoftext|>", "x" * 3000] + ["".join(r.choice(" \n\t\x1c\x85\xa0 abÉ1²Ⅷ.'sé你😀́") for _ in range(40)) for _ in range(500)]
+    assert np.frombuffer(mine.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    texts = ["", " ", "a  b\n\n c\t", "don't I'LL we've", "<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|><|endoftext|>  \n x<|endoftext", "x" * 3000] + ["".join(r.choice(" \n\t\x1c\x85\xa0 abÉ1²Ⅷ.'sé你😀́") for _ in range(40)) for _ in range(500)]
     for t in texts:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == reader.encode(t, add_special_tokens=False).ids
 
@@ -41,12 +41,22 @@ def test_local_search_empties_bins():
     assert sum(packing.improve(start, 10).values()) < sum(start.values())
 
 
+def any_exchange(a, b, capacity):
+    """Whether the squares grow when ``a`` gives one or two documents to ``b`` for none, one or two (three in all)."""
+
+    def sums(p):
+        return [(0, 0), *((x, 1) for x in p), *((x + y, 2) for i, x in enumerate(p) for y in p[i + 1 :])]
+
+    room = capacity - sum(b)
+    return any(m and m + n <= 3 and 0 < s - t <= room and sum(b) + s - t > sum(a) for s, m in sums(a) for t, n in sums(b))
+
+
 def test_local_search_runs_until_no_exchange_is_left():
     r = random.Random(4)
     histogram = Counter(r.randint(250, 700) for _ in range(3000))
     bins = packing.improve(packing.first_packing(histogram, 1024), 1024)
     under = [p for p in bins if sum(p) < 1024]
-    assert not any((a != b or bins[a] > 1) and packing._exchange(a, b, 1024) for a in under for b in under)
+    assert not any((a != b or bins[a] > 1) and any_exchange(a, b, 1024) for a in under for b in under)
 
 
 def test_cut():
@@ -88,3 +98,56 @@ def test_packing(spark, messy, none):
     assert len({x.doc_id for x in rows}) == 10 and sum(x.doc_id == 1 for x in rows) == 2
     assert [x.length for x in rows if x.doc_id in (2, 3)] == [1, 1]
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_special_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(PATH)
+    reader.encode_special_tokens = True
+    mine = packing.ByteTokenizer(PATH, special=False)
+    for t in ("a <|endoftext|> b", "<|endoftext|>"):
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == reader.encode(t, add_special_tokens=False).ids
+
+
+def least_bins(items, capacity):
+    """The least number of bins, by trying all ways."""
+    best = len(items)
+
+    def put(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(items):
+            best = len(fills)
+            return
+        for k in sorted({f: j for j, f in enumerate(fills)}.values()):
+            if fills[k] + items[i] <= capacity:
+                put(i + 1, [*fills[:k], fills[k] + items[i], *fills[k + 1 :]])
+        put(i + 1, [*fills, items[i]])
+
+    items = sorted(items, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_search_against_the_optimum_of_small_cases():
+    r, over = random.Random(4), []
+    for _ in range(150):
+        items = [r.randint(2, 20) for _ in range(r.randint(1, 11))]
+        found = packing.improve(packing.first_packing(Counter(items), 24), 24)
+        over.append(sum(found.values()) - least_bins(items, 24))
+    assert min(over) >= 0 and max(over) <= 1 and sum(over) <= 8
+
+
+def test_the_search_makes_the_packing():
+    """Far fewer bins than the plain packing has, close to the bound, and no exchange is left."""
+    r = random.Random(9)
+    for draw, gap in ((lambda: min(1023, 1 + int(r.expovariate(1 / 250))), 0.002), (lambda: r.randint(250, 700), 0.02), (lambda: min(1023, int(r.lognormvariate(5.5, 0.8)) + 1), 0.003)):
+        h = Counter(draw() for _ in range(30_000))
+        start = packing.first_packing(h, 1024)
+        found = packing.improve(start, 1024)
+        bound = -(-sum(n * c for n, c in h.items()) // 1024)
+        assert bound <= sum(found.values()) <= bound * (1 + gap) < sum(start.values()) * 0.9
+        again = packing.improve(found, 1024)
+        assert again == found
