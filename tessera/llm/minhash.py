@@ -1,12 +1,13 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 * A document's features are its runs of five words (lower case, split at white space; a shorter text is one
-  run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)) / ln(2 + N):
-  between 1 and 2, so that what a large group of copies shares doesn't become weightless against what tells them
-  apart.  Document frequencies count all documents, in a fixed number of hashed buckets (2**``DF_BITS``), so what is
-  broadcast has a fixed size.
+  run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)).
+  Document frequencies count all documents, in a count-min sketch of ``DF_ROWS`` rows: what is read of it is never
+  under the true number, and over it by a small share of N (some 450 shingles a document in 2**20 cells: 0.0004 N).
+  The sketch doubles for every fourfold corpus, so that share falls as the corpus grows.
 * 36 samples of improved consistent weighted sampling (Ioffe 2010) in 12 bands of 3: two texts with weighted
-  Jaccard similarity s share a band with probability 1 - (1 - s**3)**12, 0.9998 at 0.8.
+  Jaccard similarity s share a band with probability 1 - (1 - s**3)**12, 0.9998 at 0.8.  A sample's three random
+  variables come from three 16-bit parts of a feature's hash, each through the inverse of its distribution.
 * Equal texts are one node.  In every bucket the members are verified against its hubs (the member that shares
   most buckets and two others); links make components.  In a bucket whose members are not all in one component by then,
   what could still join two of them is verified too: all pairs across components in a small bucket, and in
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, stored, tidy, tune
@@ -35,7 +36,9 @@ from tessera.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-DF_BITS = 20
+#: The sketch of document frequencies: rows, and cells of a row as powers of two (what is sent to each executor: 2 bytes a cell).
+DF_ROWS = 2
+DF_BITS, MAX_DF_BITS = 20, 24
 CHUNKS = 64
 #: Members of a bucket of which all pairs across components are verified; larger ones are dealt out in blocks.
 SMALL = 24
@@ -82,26 +85,39 @@ def shingles(w: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mixed(g), return_counts=True)
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def sketch_bits(documents: int) -> int:
+    """Cells of a row of the sketch, as a power of two: 2**20 up to two million documents, twice as many for every four times."""
+    bits = DF_BITS
+    while bits < MAX_DF_BITS and documents > 2 << 20 + 2 * (bits - DF_BITS):
+        bits += 1
+    return bits
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents by hashed bucket, documents with words) over all rows; ``docs`` has text."""
-    size = (1 << DF_BITS) // CHUNKS
+def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of each shingle in a row of the sketch."""
+    if row:
+        h = h * np.uint64(0x9FB21C651E98DF25 + 2 * row)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def document_frequencies(docs: DataFrame, bits: int = DF_BITS) -> tuple[np.ndarray, int]:
+    """(log2 of 1 + document frequency, in 1/1024, by row and cell; documents with words) over all rows; ``docs`` has text."""
+    size = (1 << bits) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, n = WordHashes(), np.zeros(1 << DF_BITS, np.int32), 0
+        hashes, total, n = WordHashes(), np.zeros((DF_ROWS, 1 << bits), np.int32), 0
         for batch in slices(batches, "text", 4_000_000):
-            for t in batch.column(0).to_pylist():
-                h, _ = shingles(words(t), hashes)
-                if len(h):
-                    n += 1
-                    np.add.at(total, slot(h), 1)
+            found = [h for t in batch.column(0).to_pylist() if len(h := shingles(words(t), hashes)[0])]
+            n += len(found)
+            if found:
+                h = np.concatenate(found)
+                for row in range(DF_ROWS):
+                    np.add.at(total[row], cells(h, row, bits), 1)
         squeeze = zstd.ZstdCompressor(level=1)
         if n:
-            parts = [squeeze.compress(total[i * size : (i + 1) * size].tobytes()) for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] + [0] * (CHUNKS - 1), pa.int64())], names=["chunk", "data", "n"])
+            flat = total.ravel()
+            parts = [squeeze.compress(flat[i * size : (i + 1) * size].tobytes()) for i in range(CHUNKS * DF_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] + [0] * (len(parts) - 1), pa.int64())], names=["chunk", "data", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -112,34 +128,50 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 totals[c] = totals.get(c, 0) + np.frombuffer(open_.decompress(d), np.int32).astype(np.int64)
                 ns[c] = ns.get(c, 0) + n
         keys = sorted(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([totals[k].tobytes() for k in keys], pa.binary()), pa.array([ns[k] for k in keys], pa.int64())], names=["chunk", "data", "n"])
+        logs = [np.round(np.log2(1.0 + totals[k]) * 1024).astype(np.uint16).tobytes() for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(logs, pa.binary()), pa.array([ns[k] for k in keys], pa.int64())], names=["chunk", "data", "n"])
 
     kind = "chunk int, data binary, n long"
     rows = docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect()
-    out = np.zeros(1 << DF_BITS, np.int64)
+    out = np.zeros(DF_ROWS << bits, np.uint16)
     for r in rows:
-        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.data, np.int64)
-    return out, sum(r.n for r in rows)
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.data, np.uint16)
+    return out.reshape(DF_ROWS, -1), sum(r.n for r in rows)
+
+
+def gamma_quantiles(n: int) -> np.ndarray:
+    """The middles of n equal parts of the distribution Gamma(2, 1), by bisection of 1 - (1 + x) exp(-x)."""
+    p = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 64.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        under = 1 - (1 + x) * np.exp(-x) < p
+        low, high = np.where(under, x, low), np.where(under, high, x)
+    return (low + high) / 2
 
 
 class Weights:
     """Inverse document frequencies, and the sampling's random variables."""
 
-    def __init__(self, frequencies: np.ndarray, n: int):
-        self.idf = (1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(2 + n)).astype(np.float32)
+    def __init__(self, logs: np.ndarray, n: int):
+        self.logs, self.n = np.atleast_2d(logs), n
         self._tables = None
 
     def __getstate__(self):
-        return {"idf": self.idf, "_tables": None}
+        return {"logs": self.logs, "n": self.n, "_tables": None}
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        return self.idf[slot(h)]
+        """1 + ln((1 + N) / (1 + df)) of each shingle."""
+        bits = self.logs.shape[1].bit_length() - 1
+        least = np.minimum.reduce([self.logs[row][cells(h, row, bits)] for row in range(len(self.logs))])
+        return np.maximum(np.float32(1), np.float32(1 + np.log1p(self.n)) - least * np.float32(np.log(2) / 1024))
 
     def tables(self) -> tuple[np.ndarray, ...]:
         if self._tables is None:
             rng = np.random.Generator(np.random.PCG64(SEED))
-            n = 1 << 16
-            self._tables = (rng.gamma(2, 1, n).astype(np.float32), np.log(rng.gamma(2, 1, n)).astype(np.float32), rng.random(n, np.float32), rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1))
+            r = gamma_quantiles(1 << 16)
+            uniform = (np.arange(1 << 16) + 0.5) / (1 << 16)
+            self._tables = (r.astype(np.float32), np.log(r).astype(np.float32), uniform.astype(np.float32), rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1))
         return self._tables
 
     def bands(self, h: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -151,10 +183,12 @@ class Weights:
         for band in range(BANDS):
             key = np.full(len(sizes), band, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
-                at = (h * mix[k]) >> np.uint64(48)
-                r, beta = r_[at], b_[at]
+                z = h * mix[k]
+                z ^= z >> np.uint64(29)
+                part = z.view(np.uint16).reshape(-1, 4)  # three of the four are a variable each
+                r, beta = r_[part[:, 3]], b_[part[:, 1]]
                 t = np.floor(log_w / r + beta)
-                a = c_[at] - r * (t - beta) - r
+                a = c_[part[:, 2]] - r * (t - beta) - r
                 least = np.minimum.reduceat(a, starts)
                 hit = np.nonzero(a == np.repeat(least, sizes))[0]
                 # of equal ones the first: hashes are sorted inside a document
@@ -301,11 +335,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
 
     A class holds documents that are linked by pairs of at least that similarity, over any number of steps.  Texts
     without words are in no class with others.  Rows with the same id and text are one document given twice; a null id comes
-    before all others and as class_id stays null.  Other columns are ignored.
+    before all others and as class_id stays null.  Other columns are ignored.  An empty table gives no rows.
     """
     tune(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("x"), F.col(text).alias("text"))
-    weights = Weights(*document_frequencies(base))
+    weights = Weights(*document_frequencies(base, sketch_bits(docs.count())))
     signed = stored(signatures(base, weights))
     nodes = signed.where("v is not null").groupBy("v").agg(F.min(F.struct("d", "x")).alias("at"), F.first("bands").alias("bands"))
     keyed = nodes.select("v", "at", F.explode("bands").alias("key"))
@@ -350,8 +384,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The first document of each class, all columns kept; of rows with the same id and text one (any)."""
+    """The first document of each class, all columns kept; of rows with the same id and text one (any).
+
+    Nulls, empty texts, ties and empty tables as in ``classes``; columns of any name may be there but __d and __x.
+    """
     stays = stored(classes(docs, doc_id=doc_id, text=text, similarity=similarity).where("first").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__d"), F.col("x").alias("__x")).distinct())
     keyed = docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__x": F.xxhash64(text)})
     kept = keyed.join(stays, ["__d", "__x"], "left_semi")
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__x").orderBy(F.lit(0)))).where("__n = 1").select(*docs.columns)
+    return kept.dropDuplicates(["__d", "__x"]).select(*docs.columns)

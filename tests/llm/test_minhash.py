@@ -95,3 +95,70 @@ def test_components(spark):
     got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_document_frequencies_against_exact_ones(spark):
+    """A small table's frequencies are exact but for rounding, a narrow sketch only errs upwards, by a small share of all documents."""
+    from collections import Counter
+
+    r, hashes = random.Random(8), minhash.WordHashes()
+    rows = [(i, prose(r, r.randint(0, 80))) for i in range(300)] + [(1000 + i, "the same ten words stand in all of these texts") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [minhash.shingles(minhash.words(t), hashes)[0].tolist() for _, t in rows]
+    true = Counter(h for f in found for h in f)
+    n = sum(1 for f in found if f)
+    h = np.array(list(true), np.uint64)
+    df = np.array(list(true.values()))
+    exact = 1 + np.log((1 + n) / (1 + df))
+    weights = minhash.Weights(*minhash.document_frequencies(docs))
+    assert weights.n == n and np.quantile(np.abs(weights.of(h) - exact), 0.999) < 0.002
+    narrow = minhash.Weights(*minhash.document_frequencies(docs, 12))
+    read = (1 + n) / np.exp(narrow.of(h) - 1) - 1
+    assert (read > df - 0.1).all() and np.quantile(read - df, 0.99) < 4 * len(h) / (1 << 12)
+
+
+def test_the_sketch_grows_with_the_corpus():
+    assert [minhash.sketch_bits(n) for n in (0, 2 << 20, (2 << 20) + 1, 8 << 20, 15_000_000, 10**12)] == [20, 20, 21, 21, 22, 24]
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Against brute force with exact TF-IDF: nine of ten and more of the documents that have a partner are found."""
+    from collections import Counter
+
+    r = random.Random(12)
+    rows = []
+    for size in (2, 2, 2, 3, 3, 5, 20):
+        base = prose(r, 300).split()
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = prose(r, 1)
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows + [prose(r, 200) for _ in range(40)]))
+    grams = [Counter(zip(*(minhash.words(t)[j:] for j in range(5)), strict=False)) for _, t in rows]
+    df = Counter(g for c in grams for g in c)
+    weight = {g: 1 + np.log((1 + len(rows)) / (1 + n)) for g, n in df.items()}
+
+    def similarity(a, b):
+        low = sum(min(a[g], b[g]) * weight[g] for g in a if g in b)
+        return low / (sum(n * weight[g] for g, n in a.items()) + sum(n * weight[g] for g, n in b.items()) - low)
+
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(grams[i], grams[j]) >= minhash.SIMILARITY]
+    got = {x.doc_id: x.class_id for x in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 50
+    assert sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
+    assert all(got[i] == i for i, _ in rows[37:])
+
+
+def test_features_have_draws_of_their_own():
+    """Hardly two of 20 000 features share the three variables of a sample; their distributions are those of the method."""
+    weights = minhash.Weights(np.zeros(1 << minhash.DF_BITS, np.int64), 10)
+    r, log_r, beta, mix = weights.tables()
+    h = np.random.default_rng(1).integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)
+    z = h * mix[0]
+    z ^= z >> np.uint64(29)
+    part = z.view(np.uint16).reshape(-1, 4)
+    assert len(np.unique(part[:, 1:], axis=0)) == len(h)
+    assert r[part[:, 3]].mean() == pytest.approx(2, abs=0.05) and r[part[:, 3]].var() == pytest.approx(2, abs=0.15)
+    assert np.exp(log_r[part[:, 2]]).mean() == pytest.approx(2, abs=0.05) and beta[part[:, 1]].mean() == pytest.approx(0.5, abs=0.01)
+    assert abs(np.corrcoef(part[:, 1:].astype(float).T) - np.eye(3)).max() < 0.03
