@@ -7,8 +7,9 @@ that the dictionaries of their fold have not seen, turns these into a score betw
 
 What makes the lengths comparable to the byte:
 
-* Most words of a toxic document are ordinary.  The toxic dictionary is therefore trained on those parts of
-  words that are many times as frequent in toxic documents (by document frequency of byte 5-grams).
+* Most words of a toxic document are ordinary.  The toxic dictionary's own part is therefore trained on those parts
+  of toxic text that are many times as frequent there (by document frequency of byte 5-grams); trained on whole
+  windows of toxic documents it mostly learns ordinary words, and finds less than half as much.
 * Both dictionaries end in the same shared part, trained on ordinary windows, so ordinary text costs the same.
 * Every window is preceded by a fixed primer that stands in the shared part.  Its match pays for zstandard's
   block headers, so a single further match already shows in the length.
@@ -29,15 +30,18 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, tidy, tune
+from tessera.llm.common import slices, tune
 
 WINDOW = 8
-#: Bounds of the training sample: labelled rows of each class, and characters of all.
+#: Bounds of the training sample: labelled rows of each class, characters of all, and windows of ordinary text that
+#: the shared part is trained on.
 SAMPLE_TOXIC = 2500
 SAMPLE_ORDINARY = 5000
 SAMPLE_CHARS = 30_000_000
+SAMPLE_WINDOWS = 150_000
 SHARED_BYTES = 8192
-OWN_BYTES = 1024
+#: A dictionary's own part: as much as there is typical toxic text (repeats aside), at least and at most.
+OWN_BYTES, MAX_OWN_BYTES = 1024, 16384
 #: A byte 5-gram marks toxic text if its document frequency there is so many times the ordinary one.
 CONTRAST = 20
 GRAM = 5
@@ -128,8 +132,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def dictionaries(rows: list[tuple[str, int]], rng: random.Random) -> Model:
-    """The two dictionaries from labelled rows, not calibrated yet."""
+def dictionaries(rows: list[tuple[str, int]], rng: random.Random, max_windows: int = SAMPLE_WINDOWS) -> Model:
+    """The two dictionaries from labelled rows, not calibrated yet; the shared part learns from ``max_windows`` windows."""
     toxic = [t for t, y in rows if y]
     ordinary = [t for t, y in rows if not y]
     in_toxic, in_ordinary = Counter(), Counter()
@@ -143,10 +147,12 @@ def dictionaries(rows: list[tuple[str, int]], rng: random.Random) -> Model:
     plain = [w[len(PRIMER) :] for t in ordinary for w in windows(t, 2 * WINDOW)]
     rng.shuffle(marked)
     rng.shuffle(plain)
-    base = dictionary(plain[:150_000], SHARED_BYTES + OWN_BYTES)
-    own = dictionary(marked, OWN_BYTES)[-OWN_BYTES:]
+    repeated = Counter(marked)
+    size = min(MAX_OWN_BYTES, max(OWN_BYTES, sum(len(r) for r, n in repeated.items() if n >= least)))
+    base = dictionary(plain[:max_windows], SHARED_BYTES + size)
+    own = dictionary(marked, size)[-size:]
     shared = base[-SHARED_BYTES:] + PRIMER
-    return Model(own.rjust(OWN_BYTES, b" ") + shared, base[:-SHARED_BYTES][-OWN_BYTES:].rjust(OWN_BYTES, b" ") + shared)
+    return Model(own.rjust(size, b" ") + shared, base[:-SHARED_BYTES][-size:].rjust(size, b" ") + shared)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
@@ -183,12 +189,16 @@ def remainder(doc_id: str, parts: int = 3) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: Column) -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows that are not held out, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column, *, toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """A bounded sample of labelled rows that are not held out, chosen by a hash of the id.
+
+    About ``toxic`` and ``ordinary`` rows of the two classes at most, and ``chars`` characters in all.  Null ids, labels and
+    texts are left out; of a label given twice the higher counts; an empty table gives no rows.
+    """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     order = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000))
-    share = {y: min(1.0, most / max(1, counts.get(y, 0))) for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))}
+    share = {y: min(1.0, most / max(1, counts.get(y, 0))) for y, most in ((1, toxic), (0, ordinary))}
 
     def rows(part: float) -> DataFrame:
         keep = F.lit(False)
@@ -198,14 +208,15 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column) -> list[tuple[s
         few = F.broadcast(marked.where(keep))
         return docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").select("text", "toxic")
 
-    chars = rows(1.0).agg(F.sum(F.length("text"))).first()[0] or 0
-    return sorted((r[0], r[1]) for r in rows(min(1.0, SAMPLE_CHARS / max(1, chars))).collect())
+    there = rows(1.0).agg(F.sum(F.length("text"))).first()[0] or 0
+    return sorted((r[0], r[1]) for r in rows(min(1.0, chars / max(1, there))).collect())
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, score (0 to 1) and predicted (1 from 0.7 on).
 
-    Null and empty texts are one empty window.  Repeated rows give repeated rows; other columns are ignored.
+    Null and empty texts are one empty window.  Repeated rows give repeated rows, equal texts equal scores; other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     tune(docs.sparkSession)
 
@@ -218,16 +229,15 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns kept (row by row, without a shuffle)."""
+    """The rows of ``docs`` that are not predicted toxic, all columns kept (row by row, without a shuffle).
+
+    Null and empty texts are judged as one empty window; repeated rows stay or go together; other columns don't
+    matter; an empty table gives no rows.
+    """
     tune(docs.sparkSession)
-    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tidy(batches):
-            if not batch.num_rows:
-                continue
-            texts = batch.column(at).to_pylist()
-            s = np.concatenate([model.scores(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-            yield batch.filter(pa.array(s < THRESHOLD))
+        for batch in slices(batches, text, 2_000_000):
+            yield batch.filter(pa.array(model.scores(batch.column(text).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
