@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, tidy, tune
+from tessera.llm.common import saved, slices, tune
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.08
@@ -124,13 +124,15 @@ class Matcher:
         return sorted(found)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_chars`` characters (by a hash, so a block may be somewhat longer); one at least."""
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about ``block_chars`` characters the items make (one at least), and the blocks, fetched one by one.
+
+    Items are dealt by a hash, so a block may be somewhat longer.
+    """
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
-    for b in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()]
+    return blocks, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()] for b in range(blocks))
 
 
 def find_leaks(
@@ -148,13 +150,14 @@ def find_leaks(
 
     ``end_char`` is the end of the best place in the document's normal form.  Null or empty documents and
     items match nothing; repeated documents or items give a row each; a null id stays null.  Other columns
-    of either table are ignored.  Items are collected only in blocks of at most about ``block_chars``
-    characters (one pass over the documents for each block).
+    of either table are ignored; of equally good places the first counts; an empty table on either side gives no rows.
+    The driver holds one block of about ``block_chars`` characters of items at a time (one pass over the documents for
+    each; where there are several, what a pass finds is stored before the next).
     """
     tune(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    parts = []
-    blocks = list(item_blocks(benchmark, item_id, item_text, block_chars))
+    out = None
+    n_blocks, blocks = item_blocks(benchmark, item_id, item_text, block_chars)
     for block in blocks:
 
         def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -162,30 +165,35 @@ def find_leaks(
             lengths = {}
             for n in matcher.items.values():
                 lengths.setdefault(n[0], n[2])
-            for batch in tidy(batches):
+            for batch in slices(batches, "t", 2_000_000):
                 out = [(d, i, dist, end, lengths[i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, dist, end in matcher.matches(t)]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "end_char", "error_budget"])
 
         part = source.mapInArrow(match, "doc_id long, item_id long, distance long, end_char long, error_budget long")
-        parts.append(part if len(blocks) == 1 else saved(part))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = part if n_blocks == 1 else saved(part)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, all columns kept (row by row, without a shuffle)."""
+    """The rows of ``docs`` in which no benchmark item is found, all columns kept (row by row, without a shuffle).
+
+    Null and empty texts stay; repeated rows stay or go together; other columns don't matter; an empty benchmark
+    takes nothing away, and an empty table gives no rows.  A benchmark of several blocks is matched in as many passes, and
+    what each leaves is stored.
+    """
     tune(docs.sparkSession)
-    at = docs.columns.index(text)
     out = docs
-    for block in item_blocks(benchmark, item_id, item_text, block_chars):
+    n_blocks, blocks = item_blocks(benchmark, item_id, item_text, block_chars)
+    for block in blocks:
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate)
-            for batch in tidy(batches):
-                yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+            for batch in slices(batches, text, 2_000_000):
+                yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)
+        if n_blocks > 1:
+            out = saved(out)
     return out

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, tune
+from tessera.llm.common import shared_dir, slices, tune
 
 BLOCK = 1024
 #: A seek point every so many frames.
@@ -33,6 +34,8 @@ SEEK_EVERY = 16
 RATE = 8000
 PAD = 64
 MAX_FRAME = 1 << 17
+#: Frames that are coded or decoded together.
+TOGETHER = 1024
 
 
 class FlacError(ValueError):
@@ -122,17 +125,51 @@ def frame_header(number: int, samples: int) -> bytes:
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload (none empty); byte b is the sample b - 128."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    if not len(sizes):
-        return []
-    if (sizes == 0).any():
+    """A FLAC stream for each payload (none empty); byte b is the sample b - 128.
+
+    Frames are made ``TOGETHER`` at a time, so what is held besides the streams doesn't grow with a payload.
+    """
+    if not all(payloads):
         raise ValueError("a stream has one sample at least")
+    made: list[list[tuple[bytes, np.ndarray, np.ndarray]]] = [[] for _ in payloads]
+    group: list[tuple[int, int, bytes]] = []  # stream, number of its first frame, samples
+    held = 0
+
+    def close() -> None:
+        nonlocal group, held
+        if group:
+            for (s, _, _), found in zip(group, _encode_frames([g[1] for g in group], [g[2] for g in group]), strict=True):
+                made[s].append(found)
+        group, held = [], 0
+
+    for s, p in enumerate(payloads):
+        for at in range(0, len(p), TOGETHER * BLOCK):
+            part = p[at : at + TOGETHER * BLOCK]
+            if held + len(part) > TOGETHER * BLOCK:
+                close()
+            group.append((s, at // BLOCK, part))
+            held += len(part)
+    close()
+    streams = []
+    for p, parts in zip(payloads, made, strict=True):
+        total, length = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+        at = np.cumsum(total) - total
+        points = b"".join(struct.pack(">QQH", i * BLOCK, int(at[i]), int(length[i])) for i in range(0, len(total), SEEK_EVERY))
+        signed = (np.frombuffer(p, np.uint8) ^ np.uint8(128)).tobytes()
+        info = struct.pack(">HH", BLOCK, BLOCK) + int(total.min()).to_bytes(3, "big") + int(total.max()).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+        streams.append(b"".join([b"fLaC\x00", (34).to_bytes(3, "big"), info, b"\x83", len(points).to_bytes(3, "big"), points, *(x[0] for x in parts)]))
+    return streams
+
+
+def _encode_frames(firsts: list[int], payloads: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """For each run of samples its frames, numbered from ``firsts``: their bytes, sizes and samples."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     x = raw.astype(np.int32) - 128
     frames = -(-sizes // BLOCK)
-    number = np.arange(int(frames.sum())) - np.repeat(np.cumsum(frames) - frames, frames)
-    begin = np.repeat(np.cumsum(sizes) - sizes, frames) + number * BLOCK
+    inner = np.arange(int(frames.sum())) - np.repeat(np.cumsum(frames) - frames, frames)
+    number = inner + np.repeat(np.array(firsts, np.int64), frames)
+    begin = np.repeat(np.cumsum(sizes) - sizes, frames) + inner * BLOCK
     length = np.minimum(BLOCK, np.repeat(np.cumsum(sizes), frames) - begin)
     inside = np.arange(len(x)) - np.repeat(begin, length)
 
@@ -201,19 +238,12 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     sums = crc16_many(data, at, ends - 2)
     data[ends - 2], data[ends - 1] = sums >> 8, sums & 0xFF
 
-    streams, f = [], 0
+    out_, f = [], 0
     whole = data.tobytes()
-    signed = x.astype(np.int8).tobytes()
-    offset = 0
-    for s, n in zip(sizes.tolist(), frames.tolist(), strict=True):
-        base, stop = int(at[f]), int(ends[f + n - 1])
-        points = b"".join(struct.pack(">QQH", i * BLOCK, int(at[f + i]) - base, int(length[f + i])) for i in range(0, n, SEEK_EVERY))
-        part = total[f : f + n]
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(part.min()).to_bytes(3, "big") + int(part.max()).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | s).to_bytes(8, "big") + hashlib.md5(signed[offset : offset + s]).digest()
-        streams.append(b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + whole[base:stop])
+    for n in frames.tolist():
+        out_.append((whole[int(at[f]) : int(ends[f + n - 1])], total[f : f + n], length[f : f + n]))
         f += n
-        offset += s
-    return streams
+    return out_
 
 
 # ---------------------------------------------------------------- reader
@@ -567,15 +597,19 @@ def decode_many(streams: list[bytes]) -> list[tuple[Stream, list[Block]] | FlacE
     joined = np.frombuffer(b"".join(data), np.uint8)
     bps = np.array([m.bits for m in metas], np.int64)[frames[:, 0]]
     live = np.nonzero(good)[0]
-    samples, ok = decode_frames(joined, frames[live, 2], frames[live, 4], bps[live]) if len(live) else (None, None)
-    column = {int(f): n for n, f in enumerate(live)}
-    rows = samples.T if samples is not None else None
     counts = [0] * len(data)
+    decoded: dict[int, np.ndarray] = {}
+    for k in range(0, len(live), TOGETHER):
+        lanes = live[k : k + TOGETHER]
+        low, high = int(frames[lanes, 1].min()), int(frames[lanes, 3].max())
+        samples, ok = decode_frames(joined[low:high], frames[lanes, 2] - low, frames[lanes, 4], bps[lanes])
+        rows = samples.T
+        for c, f in enumerate(lanes.tolist()):
+            if ok[c]:
+                decoded[f] = rows[c, : int(frames[f, 4])].astype(np.int32)
     for f in range(len(frames)):
         s, n = int(frames[f, 0]), int(frames[f, 4])
-        c = column.get(f)
-        part = rows[c, :n] if c is not None and ok[c] else None
-        out[which[s]][1].append(Block(counts[s], int(frames[f, 5]), n, part))
+        out[which[s]][1].append(Block(counts[s], int(frames[f, 5]), n, decoded.get(f)))
         counts[s] += 1
     return out
 
@@ -624,7 +658,11 @@ def features(samples: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes (unpadded) and media, the padded text as a FLAC stream."""
+    """Per row: doc_id, n_bytes (unpadded) and media, the padded text as a FLAC stream.
+
+    Null and empty texts are 64 zeros; a null id stays null; texts of any length are stored whole; repeated rows give
+    repeated rows, equal texts equal streams; other columns are ignored, whatever their names; an empty table gives none.
+    """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,11 +673,25 @@ def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+MEDIA = "doc_id long, n_bytes long, media binary"
+
+
+def write_media(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``store``'s rows written below ``folder`` (a URI all executors reach), and that table as it reads from there."""
+    store(docs, doc_id=doc_id, text=text).write.parquet(folder)
+    return docs.sparkSession.read.schema(MEDIA).parquet(folder)
+
+
+def new_folder(df: DataFrame) -> str:
+    """A new folder for media in the shared folder."""
+    return f"{shared_dir(df.sparkSession).rstrip('/')}/media-{uuid.uuid4().hex}"
+
+
 def pcm_blocks(media: DataFrame, *, key: str = "doc_id", column: str = "media") -> DataFrame:
     """PCM blocks of a media column: key, block, sample_offset, n_samples, pcm (little-endian, 8 or 32 bits), status.
 
     status is ``ok``, ``damaged`` (a checksum or code is wrong; pcm is null) or what is wrong with the whole stream
-    (one row, block null).  Null media gives no row.
+    (one row, block null).  Null media gives no row, nor does an empty table; repeated rows give repeated blocks.
     """
     tune(media.sparkSession)
     kind = media.schema[key].dataType
@@ -664,16 +716,17 @@ def pcm_blocks(media: DataFrame, *, key: str = "doc_id", column: str = "media")
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Of ``store``'s rows: what the stored bytes hold when they are read back.
+    """Of ``store``'s rows: what the stored bytes hold when they are read back, and how many PCM blocks they are.
 
-    A row whose stream can't be read back whole fails the job: the store is lossless or nothing.
+    last_block_offset is the sample at which the last block begins.  A row whose stream can't be read back whole
+    fails the job: the store is lossless or nothing.  Repeated rows give repeated rows; an empty table gives none.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks", "last_block_offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 1_000_000):
             streams = batch.column(2).to_pylist()
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(8)]
             for s, found in zip(streams, decode_many(streams), strict=True):
                 if isinstance(found, FlacError):
                     raise found
@@ -684,9 +737,9 @@ def digest(media: DataFrame) -> DataFrame:
                 if hashlib.md5(x.astype(np.int8).tobytes()).digest() != meta.md5 or len(x) != meta.samples:
                     raise FlacError("the samples' MD5 is wrong")
                 payload = (x + 128).astype(np.uint8).tobytes()
-                for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(s), hashlib.sha256(s).hexdigest(), features(x)), strict=True):
+                for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(s), hashlib.sha256(s).hexdigest(), features(x), len(blocks), blocks[-1].sample_offset), strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, last_block_offset long")

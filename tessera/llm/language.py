@@ -29,6 +29,9 @@ GRAMS = (2, 3, 4)
 SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000_000
 EPOCHS = 4
+#: Code points that are looked at together, and logits that are held for them.
+PART = 1 << 17
+CELLS = 4_000_000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -43,16 +46,22 @@ def letters() -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    """Lower-case letters as code points, runs of anything else as one 0, and 0 at both ends."""
-    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = np.where(letters()[a], a, 0)
-    a = np.concatenate(([0], a, [0])).astype(np.uint64)
-    return a[np.concatenate(([True], (a[1:] != 0) | (a[:-1] != 0)))]
+    """Lower-case letters as code points (32 bits), runs of anything else as one 0, and 0 at both ends; a long text part by part."""
+    parts, zero = [np.zeros(1, np.uint32)], True  # whether the last one is 0
+    for begin in range(0, len(text), PART):
+        a = np.frombuffer(text[begin : begin + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        a = np.where(letters()[a], a, np.uint32(0))
+        a = a[(a != 0) | np.concatenate(([not zero], a[:-1] != 0))]
+        if len(a):
+            parts.append(a)
+            zero = a[-1] == 0
+    return np.concatenate(parts if zero else [*parts, np.zeros(1, np.uint32)])
 
 
 def grams(a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(n, buckets of all n-grams) of the code points."""
-    h = a.copy()
+    a = a.astype(np.uint64)
+    h = a
     for n in range(2, max(GRAMS) + 1):
         h = h[:-1] * np.uint64(0x9E3779B1) + a[n - 1 :] if len(h) > 1 else h[:0]
         if n in GRAMS:
@@ -78,14 +87,21 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         total = np.zeros(len(texts))
         whole = np.concatenate(arrays)
-        ends = np.cumsum([len(a) for a in arrays])
-        owner_start = ends - [len(a) for a in arrays]
-        for n, buckets in grams(whole):
-            # grams that begin in the last n - 1 places of a text reach into the next one
-            sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self.table[buckets], axis=0, dtype=np.float64)))
-            stop = np.maximum(ends - n + 1, owner_start)
-            out += sums[np.minimum(stop, len(buckets))] - sums[np.minimum(owner_start, len(buckets))]
-            total += np.maximum(0, stop - owner_start)
+        sizes = np.array([len(a) for a in arrays])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        # a stretch of code points at a time: a row of logits for each of them has to fit
+        stretch = min(PART, max(1024, CELLS // max(1, len(self.langs))))
+        for begin in range(0, len(whole), stretch):
+            stop = min(begin + stretch, len(whole))
+            first, last = np.searchsorted(ends, begin, "right"), np.searchsorted(starts, stop, "left")
+            for n, buckets in grams(whole[begin : stop + max(GRAMS) - 1]):
+                # grams that begin in the last n - 1 places of a text reach into the next one
+                low = np.clip(starts[first:last] - begin, 0, len(buckets))
+                high = np.clip(np.minimum(ends[first:last] - n + 1, stop) - begin, low, len(buckets))
+                sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self.table[buckets[: stop - begin]], axis=0, dtype=np.float64)))
+                out[first:last] += sums[np.minimum(high, len(sums) - 1)] - sums[np.minimum(low, len(sums) - 1)]
+                total[first:last] += high - low
         return out / np.maximum(total, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -97,7 +113,7 @@ class Model:
 
 
 def train(texts: list[str], langs: list[str], *, seed: int = 0, epochs: int = EPOCHS, accuracy: float = 0.99) -> Model:
-    """Train on all but a tenth of the rows, calibrate on that tenth.
+    """Train on all but a tenth of the rows, calibrate on that tenth (where it has less than 20 rows, on all).
 
     One language alone is predicted with score 1.  Without rows nothing is learned and everything is ``und``.
     """
@@ -147,14 +163,17 @@ def train(texts: list[str], langs: list[str], *, seed: int = 0, epochs: int = EP
     return model
 
 
-def sample(docs: DataFrame, text: str, lang: str, where: Column, doc_id: str) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: by a hash of the id, about as many of each language; no language is left out."""
+def sample(docs: DataFrame, text: str, lang: str, where: Column, doc_id: str, *, rows_each: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows: by a hash of the id, about ``rows_each`` of each language and ``chars`` characters in all.
+
+    No language is left out; null texts and languages are; an empty table gives no rows.
+    """
     rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("c")).collect()
     if not counts:
         return []
-    share = SAMPLE_CHARS / len(counts)
-    below = [(r.l, int(min(1.0, SAMPLE_ROWS / r.n, share / max(1, r.c)) * 1_000_000) + 1) for r in counts]
+    share = chars / len(counts)
+    below = [(r.l, int(min(1.0, rows_each / r.n, share / max(1, r.c)) * 1_000_000) + 1) for r in counts]
     bounds = docs.sparkSession.createDataFrame(below, "__lang string, __below long")
     at = F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1_000_000))
     found = rows.join(F.broadcast(bounds), (F.col(lang) == F.col("__lang")) & (at < F.col("__below"))).select(text, lang).collect()
@@ -165,15 +184,15 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     """Per row: doc_id, lang_pred, score (calibrated probability) and rejected (score below the threshold).
 
     Null texts and texts without a letter get ``und``, score 0 and are rejected.  Whole texts are used, of any
-    length.  Repeated rows give repeated rows; other columns are ignored.
+    length.  Of equally likely languages the first by name counts.  Repeated rows give repeated rows; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 2_000_000):
             texts = batch.column(1).to_pylist()
-            mask = letters()
-            known = [i for i, t in enumerate(texts) if t and mask[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
+            known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
             if known:
                 for i, (name, p) in zip(known, model.predict([texts[i] for i in known]), strict=True):

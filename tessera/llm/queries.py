@@ -79,7 +79,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flac.digest(_flac.store(load(spark, sf_dir, "documents")))
+    docs = load(spark, sf_dir, "documents")
+    return _flac.digest(_flac.write_media(docs, _flac.new_folder(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -142,3 +142,97 @@ def test_columns(spark, messy, none):
     assert bytes((np.frombuffer(b"".join(b.pcm for b in blocks), np.int8).astype(int) + 128).astype(np.uint8)) == flac.padded(text)[0]
     odd = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.status) for r in flac.pcm_blocks(odd).collect()] == [(1, "no FLAC stream")]
+
+
+def slow_decode(data):
+    """The samples of a mono stream of constant, verbatim and fixed subframes, read bit by bit, without the library's reader."""
+    at = 4
+    while True:
+        last, size = data[at] & 0x80, int.from_bytes(data[at + 1 : at + 4], "big")
+        if data[at] & 0x7F == 0:
+            packed = int.from_bytes(data[at + 14 : at + 22], "big")
+            width, total = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
+        at += 4 + size
+        if last:
+            break
+    bits, out = "".join(f"{b:08b}" for b in data), []
+    pos = at * 8
+
+    def take(n):
+        nonlocal pos
+        pos += n
+        return int(bits[pos - n : pos], 2) if n else 0
+
+    def signed(n):
+        v = take(n)
+        return v - (1 << n) if v >> n - 1 else v
+
+    while len(out) < total:
+        assert take(15) == 0b111111111111100 and take(1) == 0
+        block, _, _ = take(4), take(4), take(8)
+        lead = take(8)
+        while lead & 0x80 and lead & 0x40:
+            take(8)
+            lead = lead << 1 & 0xFF
+        n = {6: lambda: take(8) + 1, 7: lambda: take(16) + 1}.get(block, lambda: 256 << block - 8)()
+        take(8)
+        assert take(1) == 0
+        kind = take(6)
+        assert take(1) == 0
+        if kind == 0:
+            found = [signed(width)] * n
+        elif kind == 1:
+            found = [signed(width) for _ in range(n)]
+        else:
+            order = kind - 8
+            found = [signed(width) for _ in range(order)]
+            assert take(2) == 0 and take(4) == 0
+            k = take(4)
+            for _ in range(n - order):
+                q = 0
+                while not take(1):
+                    q += 1
+                u = q << k | take(k)
+                r = -(u + 1 >> 1) if u & 1 else u >> 1
+                found.append(r + [0, found[-1] if order else 0, 2 * found[-1] - found[-2] if order == 2 else 0][order])
+        out += found
+        pos = -(-pos // 8) * 8 + 16
+    return out
+
+
+def test_an_independent_reader_gives_the_same_samples():
+    r = random.Random(6)
+    for p in (b"a", bytes(64), b"some text that is padded".ljust(64, b"\0"), os.urandom(1500), bytes(r.choice(b"etaoin shrdlu") for _ in range(5000)), bytes(i // 9 % 256 for i in range(3000))):
+        assert slow_decode(flac.encode_many([p])[0]) == [b - 128 for b in p]
+
+
+def test_long_payloads_in_parts(monkeypatch):
+    """A payload gives the same stream whatever is coded together with it, and one of megabytes needs bounded memory."""
+    import tracemalloc
+
+    r = random.Random(7)
+    payloads = [bytes(r.choice(b"etaoin shrdlu\xff\xf8") for _ in range(n)) for n in (10, 5000, 1024, 9000, 1)]
+    whole = flac.encode_many(payloads)
+    monkeypatch.setattr(flac, "TOGETHER", 2)
+    assert flac.encode_many(payloads) == whole
+    for p, found in zip(payloads, flac.decode_many(whole), strict=True):
+        assert (samples(found) + 128).astype(np.uint8).tobytes() == p
+        assert [b.sample_offset for b in found[1]] == list(range(0, len(p), flac.BLOCK))
+    monkeypatch.undo()
+    long = (b"some words of a long text, and more of them " * 100_000)[: 4 << 20]
+    tracemalloc.start()
+    coded = flac.encode_many([long])
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    assert (samples(flac.decode_many(coded)[0]) + 128).astype(np.uint8).tobytes() == long
+    tracemalloc.stop()
+
+
+def test_media_is_written_and_read_back(spark, messy, none, tmp_path):
+    media = flac.write_media(messy, f"file://{tmp_path}/media")
+    assert os.listdir(tmp_path / "media") and media.count() == messy.count()
+    got = {r.doc_id: r for r in flac.digest(media).collect()}
+    blocks = {}
+    for b in flac.pcm_blocks(media.where("doc_id = 6")).collect():
+        blocks[b.block] = b
+    assert got[6].pcm_blocks == len(blocks) and got[6].last_block_offset == max(b.sample_offset for b in blocks.values())
+    assert flac.digest(flac.write_media(none, f"file://{tmp_path}/none")).count() == 0

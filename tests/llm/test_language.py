@@ -54,3 +54,25 @@ def test_sample_leaves_the_held_out_fold_alone(spark):
 def test_sample_learns_every_language(spark):
     docs = spark.createDataFrame([(i, f"text {i}", f"lang-{i % 250}") for i in range(500)], "doc_id long, text string, lang string")
     assert {lang for _, lang in language.sample(docs, "text", "lang", F.lit(True), "doc_id")} == {f"lang-{k}" for k in range(250)}
+
+
+def test_long_texts_in_bounded_memory(monkeypatch):
+    """Stretches don't change the result, and a long text under many languages needs no row of logits for each character."""
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [t for t, _ in rows(40, 4)] + ["", "..", "b", " ba  be ", "Ñan ÉLO." * 50]
+    m = model()
+    whole, plain = m.logits(texts), [language.codes(t) for t in texts]
+    for part in (1, 7, 64):
+        monkeypatch.setattr(language, "PART", part)
+        monkeypatch.setattr(language, "CELLS", 0)
+        assert all((language.codes(t) == c).all() for t, c in zip(texts, plain, strict=True))
+        monkeypatch.setattr(language, "PART", max(part, 1024))
+        assert np.abs(m.logits(texts) - whole).max() < 1e-9
+    monkeypatch.undo()
+    many = language.Model([str(i) for i in range(200)], np.ones((language.BUCKETS, 200), np.float32), np.zeros(200), 1.0, 0.0)
+    tracemalloc.start()
+    many.predict(["some words of a long text " * 80_000])
+    assert tracemalloc.get_traced_memory()[1] < 250e6
