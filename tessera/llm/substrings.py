@@ -38,6 +38,8 @@ GROUP = 3
 #: Bytes of packed strings in a bucket, about, and those at which it gives up its largest groups.
 BUCKET_BYTES = 8 << 20
 BUCKET_LIMIT = 128 << 20
+#: Bytes of packed strings that a task of the buckets reads, about, however large the corpus.
+TASK_BYTES = 64 << 20
 #: Bytes of packed strings that a task collects before it sends parcels.
 PARCEL_BYTES = 24 << 20
 #: Strings, texts and words that a task remembers; forgetting some only sends more rows.
@@ -329,8 +331,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUC
     """(d, t, first, last): spans of words to remove, the end excluded.  ``docs`` has d, t (a hash of the text) and text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-3 * total // bucket_bytes))  # a word travels about three times
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // TASK_BYTES))
     sent = docs.mapInArrow(lambda b: split(b, buckets, window), _SCHEMA)
-    once = saved(sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: count(b, window, bucket_limit), _SCHEMA))
+    once = saved(sent.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda b: count(b, window, bucket_limit), _SCHEMA))
     again = once.where(F.col("kind") == _WINDOW).repartition("key").sortWithinPartitions("key", "d", "t", "first").mapInArrow(lambda b: count_windows(b, window), _SCHEMA)
     return once.where(F.col("kind") == _SPAN).unionByName(again).select("d", "t", "first", "last")
 
@@ -340,7 +343,8 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
 
     A null text has no words.  Texts shorter than a window keep all words.  Rows with the same id and the same
     text are one document given twice and get the same result; with the same id and other texts they are ordered
-    by a hash of the text.  A null id comes before all others.  Other columns are ignored.
+    by a hash of the text.  A null id comes before all others.  Other columns are ignored, whatever their names.  An
+    empty table gives no rows.
     """
     tune(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.hash("text").cast("long"))
