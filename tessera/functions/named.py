@@ -31,12 +31,27 @@ _OPERATORS = {
     "&": Column.bitwiseAND,
     "|": Column.bitwiseOR,
     "^": Column.bitwiseXOR,
+    "==": Column.__eq__,
+    "<>": Column.__ne__,
+    "!=": Column.__ne__,
+    "<=>": Column.eqNullSafe,
+    "||": F.concat,
+    "like": lambda a, b: F.call_function("like", a, b),
+    "ilike": lambda a, b: F.call_function("ilike", a, b),
+    "rlike": F.rlike,
+    "is distinct from": lambda a, b: ~a.eqNullSafe(b),
+    "is not distinct from": Column.eqNullSafe,
 }
 
 
 def operator(symbol: str) -> Callable[..., Column]:
-    """An infix operator; ``div`` and others that are no symbols are called as functions of two arguments."""
+    """An infix operator; ``div``, ``mod`` and others that are words are called as functions of two arguments.
+
+    Any other symbol is put between its operands as SQL text; whether there is such an operator the engine says.
+    """
     known = _OPERATORS.get(symbol.lower())
+    if known is None and not symbol.isidentifier():
+        return expression("({0}) " + symbol.replace("{", "{{").replace("}", "}}") + " ({1})")
     return lambda a, b: known(lit(a), lit(b)) if known else F.call_function(symbol, lit(a), lit(b))
 
 
@@ -46,5 +61,17 @@ def literal(token: str) -> Column:
 
 
 def expression(template: str) -> Callable[..., Column]:
-    """SQL with ``{0}``, ``{1}``, ... for column names, as ``expression("extract(year from {0})")("o_orderdate")``."""
-    return lambda *names: F.expr(template.format(*(f"`{n}`" for n in names)))
+    """SQL with ``{0}``, ``{1}``, ... for its arguments, as ``expression("extract(year from {0})")("o_orderdate")``.
+
+    An argument is a column's name or any expression.
+    """
+
+    def made(*args: str | Column) -> Column:
+        if all(isinstance(a, str) for a in args):
+            return F.expr(template.format(*(f"`{n}`" for n in args)))
+        # the arguments become fields of a value that the text sees as the variable of a lambda
+        fields = F.struct(*((F.col(f"`{a}`") if isinstance(a, str) else lit(a)).alias(f"a{i}") for i, a in enumerate(args)))
+        text = template.format(*(f"__x.a{i}" for i in range(len(args))))
+        return F.call_function("transform", F.array(fields), F.expr(f"__x -> {text}")).getItem(0)
+
+    return made

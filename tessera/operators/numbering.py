@@ -26,9 +26,7 @@ def with_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     rows = (df.orderBy(*order) if order else df).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftrightunsigned("__at", ROW_BITS)
     sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
-    parts = sorted(sizes)
-    before = dict(zip(parts, accumulate((sizes[p] for p in parts), initial=0), strict=False))
-    moved = F.lit(0).cast("bigint")
-    if before:
-        moved = F.element_at(F.map_from_arrays(F.array(*(F.lit(p).cast("bigint") for p in parts)), F.array(*(F.lit(before[p]).cast("bigint") for p in parts))), part)
+    # one number for every partition, empty ones too: the place in the array is the partition's number
+    before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1)), initial=0))
+    moved = F.expr(f"array({', '.join(f'{n}L' for n in before)})").getItem(part.cast("int"))
     return rows.withColumn(name, moved + F.col("__at").bitwiseAND((1 << ROW_BITS) - 1)).drop("__at")

@@ -255,6 +255,22 @@ class Query:
         inner = right._set().select(F.struct(*(F.col(f"`{n}`") for n in right.columns)).alias("_2"))
         return Query(left.lateralJoin(inner))
 
+    def _as_rows(self) -> tuple[DataFrame, Ref, OuterRef]:
+        """Whole rows as one struct, which no column of a subquery is named like."""
+        df = self._set().select(F.struct(*(F.col(f"`{n}`") for n in self.columns)).alias("__row"))
+        kind = T.StructType([f for f in self._schema.fields if f.name in self.columns])
+        return df, Ref(kind, F.col("__row")), OuterRef(kind, "__row")
+
+    def map_scalar(self, f: Callable[[Ref, OuterRef], Any]) -> Query:
+        """As ``map``; scalar subqueries in it (``as_column``) use the second argument for columns of this row."""
+        df, row, outer = self._as_rows()
+        return Query(df.select(*selection(f(row, outer))))
+
+    def filter_scalar(self, p: Callable[[Ref, OuterRef], Column]) -> Query:
+        """As ``filter``; scalar subqueries in it (``as_column``) use the second argument for columns of this row."""
+        df, row, outer = self._as_rows()
+        return Query(df.where(p(row, outer)).select("__row.*"))
+
     def subquery(self) -> Query:
         """Paging and order applied; no barrier is needed, as the meaning never depends on one."""
         return self._inner()
@@ -297,7 +313,10 @@ class Query:
             raise ValueError("NOT IN takes one column")
         name = other.columns[0]
         right = other._set().select(F.col(f"`{name}`").alias("__in"))
-        return Query(self._flat().join(right, (mine == F.col("__in")) | mine.isNull() | F.col("__in").isNull(), "left_anti"), self._order)
+        # an equi-join, which hashes or sorts at any size, and one number about the other side for the NULLs
+        held = right.select(F.when(F.count(F.lit(1)) == 0, "empty").when(F.count_if(F.col("__in").isNull()) == 0, "values").otherwise("null")).scalar()
+        left = self._flat().where((held == "empty") | ((held == "values") & mine.isNotNull()))
+        return Query(left.join(right.where("__in is not null"), mine == F.col("__in"), "left_anti"), self._order)
 
     def _same(self, key: Callable[[Ref], Any], other: Query) -> Callable[[Ref, Ref], Column]:
         def on(a: Ref, b: Ref) -> Column:
@@ -339,11 +358,21 @@ class Query:
     def aggregate(self, f: Callable[[Group], Any]) -> Query:
         """Aggregates over all rows: one row."""
         df = self._set()
-        return Query(df.agg(*selection(f(Group(Ref(df.schema))))))
+        # a select, as agg would ask for a schema that references to an outer row don't let be known yet
+        return Query(df.select(*selection(f(Group(self.row)))))
 
     def length(self) -> Query:
         return self.aggregate(lambda g: g.length)
 
+    def as_column(self) -> Column:
+        """The only value of a query of one column as a scalar subquery: NULL without rows, an error beyond one.
+
+        Inside ``map_scalar`` and ``filter_scalar`` it may look at the outer row that these hand over.
+        """
+        if self._order or self._paged():
+            return self._set().scalar()
+        return self._df.scalar()
+
     def distinct(self) -> Query:
         """Whole rows once.  Which of them was first is lost, so the order is too."""
         return Query(self._set().distinct())

@@ -17,8 +17,8 @@ from tessera.functions import scalar as S
 from tessera.operators.query import Query, asc, desc
 from tessera.plans import dml
 from tessera.plans.compiled import Compiled, switch
-from tessera.sources.plainsql import sql
-from tessera.sources.table import Catalog, Col, ForeignKey, Table
+from tessera.sources.plainsql import set_parameter, sql
+from tessera.sources.table import Catalog, Col, ForeignKey, Mapped, Table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -414,15 +414,14 @@ def op_group_by_outer(c):
 
 @query("SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey)")
 def op_corr_max(c):
-    last = c.query("orders").group_by(lambda r: r.o_custkey).map(lambda k, g: {"k": k, "m": g.map(lambda r: r.o_orderkey).max})
-    return c.query("orders").exists(last, lambda o, m: (o.o_custkey == m.k) & (o.o_orderkey == m.m)).map(lambda o: {"o_custkey": o.o_custkey, "o_orderkey": o.o_orderkey})
+    last = lambda o: c.query("orders").filter(lambda p: p.o_custkey == o.o_custkey).aggregate(lambda g: g.map(lambda p: p.o_orderkey).max).as_column()
+    return c.query("orders").map(lambda o: {"o_custkey": o.o_custkey, "o_orderkey": o.o_orderkey}).filter_scalar(lambda o, outer: o.o_orderkey == last(outer))
 
 
 @query("SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT count(*) FROM region) AS regions FROM nation")
 def op_scalar_aggregate(c):
-    per = c.query("supplier").group_by(lambda s: s.s_nationkey).map(lambda k, g: {"k": k, "n": g.length})
-    q = c.query("nation").join_left(per).on(lambda n, s: n.n_nationkey == s.k).join(c.query("region").length())
-    return q.map(lambda r: {"n_name": r[0][0].n_name, "suppliers": O.get_or_else(r[0][1].n, 0), "regions": r[1].value})
+    per = lambda n: c.query("supplier").filter(lambda s: s.s_nationkey == n.n_nationkey).length().as_column()
+    return c.query("nation").map_scalar(lambda n, outer: {"n_name": n.n_name, "suppliers": per(outer), "regions": c.query("region").length().as_column()})
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -564,6 +563,110 @@ def op_sequence(c):
     return dml.Sequence("ids", start=10, inc=5).column(c.df("nation"), "id", [F.col("n_nationkey")]).select("n_name", "id")
 
 
+class Account(Table):
+    """A declared table with a key that counts, a default, and a type of the client."""
+
+    name = "account"
+    id = Col("bigint", primary_key=True, auto_inc=True)
+    owner = Col("string", length=40)
+    state = Col(Mapped("int", {"open": 1, "closed": 0}.get, {1: "open", 0: "closed"}.get), default="open")
+    balance = Col("double", default=1.5)
+
+
+def accounts(c):
+    return Account.of_rows(c.spark, [(1, "a", "open", 10.0), (2, "b", "closed", 0.0), (5, "c", "open", 7.25)])
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 1, 10.0), (2, 'b', 0, 0.0), (5, 'c', 1, 7.25), (6, 'd', 1, 1.5), (7, 'e', 1, 1.5)) AS t(id, owner, state, balance)")
+def op_insert_auto_inc(c):
+    rows = c.spark.createDataFrame([(90, "d"), (91, "e")], "id bigint, owner string").coalesce(1)
+    return dml.insert_into(Account, accounts(c), rows)
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 1, 10.0), (2, 'b', 0, 0.0), (5, 'c', 1, 7.25), (90, 'd', 1, 1.5), (91, 'e', 1, 1.5)) AS t(id, owner, state, balance)")
+def op_force_insert(c):
+    return dml.insert_into(Account, accounts(c), c.spark.createDataFrame([(90, "d"), (91, "e")], "id bigint, owner string"), force=True)
+
+
+@query("SELECT CAST(5 + row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS id, n_name AS owner FROM nation")
+def op_insert_returning(c):
+    rows = c.query("nation").sort_by(lambda n: n.n_nationkey).map(lambda n: {"owner": n.n_name}).df
+    return dml.insert_into(Account, accounts(c), rows, returning=["id", "owner"])[1]
+
+
+@query("SELECT id, owner FROM (VALUES (1, 'a'), (5, 'c')) AS t(id, owner)")
+def op_mapped_type(c):
+    kind = Account.cols()["state"].type
+    return Account.query(accounts(c)).filter(lambda a: a.state == kind.lit("open")).map(lambda a: {"id": a.id, "owner": a.owner})
+
+
+@query("SELECT n_name, c.owner FROM nation JOIN (VALUES (1, 'a'), (2, 'b'), (5, 'c')) AS c(id, owner) ON n_nationkey = c.id")
+def op_federated(c):
+    return c.query("nation").join(Query.of(accounts(c))).on(lambda n, a: n.n_nationkey == a.id).map(lambda r: {"n_name": r[0].n_name, "owner": r[1].owner})
+
+
+@query("SELECT CAST(1 AS BIGINT) AS id, 'x' AS name WHERE FALSE")
+def op_empty_source(c):
+    return Query.empty(c.spark).map(lambda r: {"id": r.id, "name": F.lit("x")})
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1")
+def op_head(c):
+    return c.query("supplier").sort_by(lambda s: (desc(s.s_acctbal), s.s_suppkey)).map(lambda s: {"s_suppkey": s.s_suppkey, "s_name": s.s_name}).take(1)
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END, '-') AS status, o_totalprice AS price, CAST(o_custkey AS BIGINT) AS same FROM orders")
+def op_if_null(c):
+    return c.query("orders").map(lambda o: {"o_orderkey": o.o_orderkey, "status": P.if_null(F.when(o.o_orderstatus != "O", o.o_orderstatus), "-"), "price": O.get(O.some(o.o_totalprice)), "same": S.cast(o.o_custkey, "bigint")})
+
+
+@query("SELECT o_orderkey FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200) WHERE o_orderstatus = 'F'")
+def op_subquery(c):
+    return c.query("orders").sort_by(lambda o: (desc(o.o_totalprice), o.o_orderkey)).take(200).subquery().for_update().filter(lambda o: o.o_orderstatus == "F").map(lambda o: {"o_orderkey": o.o_orderkey})
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n, TRUE AS user_known, TRUE AS database_known, TRUE AS today")
+def op_session_functions(c):
+    known = lambda f: f.isNotNull() & (F.length(f) > 0)
+    return Query.scalar(c.spark, n=F.lit(1).cast("bigint"), user_known=known(S.user()), database_known=known(S.database()), today=(F.datediff(F.current_timestamp(), S.current_date()) == 0) & (S.current_time() >= 0))
+
+
+@query("SELECT o_orderkey, o_orderstatus || '/' || o_orderpriority AS both_, o_orderstatus IS NOT DISTINCT FROM 'O' AS is_open, year(o_orderdate + INTERVAL 40 DAY) * 2 AS later, CAST(o_custkey AS BIGINT) << 2 AS moved FROM orders")
+def op_infix(c):
+    year = N.expression("extract(year from {0}) * 2")
+    return c.query("orders").map(
+        lambda o: {"o_orderkey": o.o_orderkey, "both_": N.operator("||")(N.operator("||")(o.o_orderstatus, "/"), o.o_orderpriority), "is_open": N.operator("<=>")(o.o_orderstatus, "O"), "later": year(o.o_orderdate + F.expr("INTERVAL 40 DAYS")).cast("bigint"), "moved": N.operator("<<")(o.o_custkey.cast("bigint"), 2)}
+    )
+
+
+@query("SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P' AND n_name <> 'x'")
+def op_compiled_flat_map(c):
+    orders = Compiled(lambda status, name: c.query("orders").filter(lambda o: o.o_orderstatus == status))
+    named = lambda q: Compiled(lambda status, name: q.join(c.query("customer")).on(lambda o, k: o.o_custkey == k.c_custkey).join(c.query("nation").filter(lambda n: n.n_name != name)).on(lambda r, n: r[1].c_nationkey == n.n_nationkey))
+    return orders.flat_map(named)("P", "x").map(lambda r: {"o_orderkey": r[0][0].o_orderkey, "n_name": r[1].n_name})
+
+
+class Span:
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 3 AND 8")
+def op_set_parameter(c):
+    set_parameter(Span, lambda s: list(range(s.low, s.high + 1)))
+    return sql(c.spark, "SELECT p_partkey FROM tessera_part WHERE array_contains(CAST(:sizes AS ARRAY<BIGINT>), CAST(p_size AS BIGINT))", views={"tessera_part": c.df("part")}, sizes=Span(3, 8))
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 90)")
+def op_not_in_empty(c):
+    return c.query("supplier").is_not_in(lambda s: s.s_nationkey, c.query("nation").filter(lambda n: n.n_regionkey > 90).map(lambda n: n.n_nationkey))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT CASE WHEN n_nationkey > 2 THEN n_nationkey END FROM nation)")
+def op_not_in_null(c):
+    return c.query("supplier").is_not_in(lambda s: s.s_nationkey, c.query("nation").map(lambda n: F.when(n.n_nationkey > 2, n.n_nationkey))).map(lambda s: {"s_suppkey": s.s_suppkey})
+
+
 # ---------------------------------------------------------------- larger queries
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 from typing import Any
 
 from tessera.operators.query import Query
@@ -26,7 +27,15 @@ class Compiled:
         return Compiled(lambda *params: f(self(*params)))
 
     def flat_map(self, f: Callable[[Query], Compiled]) -> Compiled:
-        return Compiled(lambda *params: f(self(*params))())
+        """The compiled query that ``f`` gives for this one's query; it takes the same parameters, or none."""
+
+        def build(*params: Any) -> Query:
+            inner = f(self(*params))
+            made = inner.extract
+            takes = callable(made) and any(p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD, p.VAR_POSITIONAL) for p in signature(made).parameters.values())
+            return inner(*params) if takes else inner()
+
+        return Compiled(build)
 
 
 def switch(choices: list[tuple[Callable[[Any], bool], Callable[[Any], Query]]], default: Callable[[Any], Query]) -> Compiled:

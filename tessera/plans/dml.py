@@ -6,6 +6,7 @@ another name in one commit.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.predicates import lit
 from tessera.operators.numbering import with_index
-from tessera.sources.table import Table
+from tessera.sources.meta import CONSTRAINTS, constraints_of
+from tessera.sources.table import Col, Mapped, Table
 
 
 def insert(table: DataFrame, rows: DataFrame, *, defaults: dict[str, Any] | None = None) -> DataFrame:
@@ -41,6 +43,27 @@ def insert_returning(table: DataFrame, rows: DataFrame, key: str) -> tuple[DataF
     return insert(table, numbered), numbered.select(*(c for c in table.columns if c in numbered.columns))
 
 
+def insert_into(kind: type[Table], table: DataFrame, rows: DataFrame, *, force: bool = False, returning: list[str] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """``table`` with the rows added as the declaration of ``kind`` says, and with ``returning`` those columns of the new rows.
+
+    Values given for auto-increment columns are skipped, and these columns go on from the largest number there is; ``force``
+    takes given values as they are.  Columns that aren't given get their default, or NULL.  Two writers that start from
+    the same table give the same numbers: the commit of the second one has to fail or be repeated.
+    """
+    auto = [n for n, c in kind.cols().items() if c.auto_inc]
+    defaults = {n: c.type.encode(c.default) if isinstance(c.type, Mapped) else c.default for n, c in kind.cols().items() if c.default is not None}
+    new = rows if force else rows.drop(*auto)
+    for key in auto:
+        if key not in new.columns:
+            top = table.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+            new = with_index(new, [], "__n").withColumn(key, (F.lit(top + 1) + F.col("__n")).cast(table.schema[key].dataType)).drop("__n")
+    after = insert(table, new, defaults=defaults)
+    if returning is None:
+        return after
+    whole = insert(table.limit(0), new, defaults=defaults)
+    return after, whole.select(*returning)
+
+
 def update(table: DataFrame, where: Column, values: dict[str, Any]) -> DataFrame:
     """Rows for which ``where`` is TRUE get the values."""
     hit = F.coalesce(where, F.lit(False))
@@ -119,14 +142,31 @@ class Sequence:
 
 
 def create_statements(*tables: type[Table], if_not_exists: bool = False, using: str = "parquet") -> list[str]:
-    """CREATE TABLE statements; keys and indexes are comments of the metadata only."""
+    """CREATE TABLE statements with lengths and defaults; keys and indexes are properties of the table (``meta.constraints``)."""
     out = []
     for t in tables:
-        cols = ", ".join(f"`{n}` {c.spark_type.simpleString()}{'' if c.nullable else ' NOT NULL'}" for n, c in t.cols().items())
-        out.append(f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}`{t.name}` ({cols}) USING {using}")
+        cols = ", ".join(f"`{n}` {_sql_type(c)}{'' if c.nullable else ' NOT NULL'}{_sql_default(c)}" for n, c in t.cols().items())
+        held = json.dumps(constraints_of(t)).replace("\\", "\\\\").replace("'", "\\'")
+        out.append(f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}`{t.name}` ({cols}) USING {using} TBLPROPERTIES ('{CONSTRAINTS}' = '{held}')")
     return out
 
 
+def _sql_type(c: Col) -> str:
+    kind = c.spark_type.simpleString()
+    return f"varchar({c.length})" if c.length and kind == "string" else kind
+
+
+def _sql_default(c: Col) -> str:
+    if c.default is None:
+        return ""
+    value = c.type.encode(c.default) if isinstance(c.type, Mapped) else c.default
+    if isinstance(value, str):
+        value = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    elif isinstance(value, bool):
+        value = str(value).lower()
+    return f" DEFAULT CAST({value} AS {c.spark_type.simpleString()})"
+
+
 def drop_statements(*tables: type[Table], if_exists: bool = False) -> list[str]:
     return [f"DROP TABLE {'IF EXISTS ' if if_exists else ''}`{t.name}`" for t in reversed(tables)]
 

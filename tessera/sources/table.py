@@ -13,11 +13,36 @@ from pyspark.sql import types as T
 from tessera.operators.query import Query, Ref, selection
 
 
+@dataclass(frozen=True)
+class Mapped:
+    """A type of the client that is stored as another one: both ways are functions of a value that isn't None."""
+
+    base: str | T.DataType
+    to_base: Callable[[Any], Any]
+    from_base: Callable[[Any], Any]
+
+    def encode(self, value: Any) -> Any:
+        return None if value is None else self.to_base(value)
+
+    def decode(self, value: Any) -> Any:
+        return None if value is None else self.from_base(value)
+
+    def lit(self, value: Any) -> Column:
+        """A value of the type in a query."""
+        return F.lit(self.encode(value)).cast(_type(self.base))
+
+
+def _type(kind: str | T.DataType | Mapped) -> T.DataType:
+    if isinstance(kind, Mapped):
+        kind = kind.base
+    return kind if isinstance(kind, T.DataType) else T._parse_datatype_string(kind)
+
+
 @dataclass(frozen=True)
 class Col:
-    """A physical column and its options."""
+    """A physical column and its options.  ``length`` bounds a string, ``default`` is what an insert without a value gets."""
 
-    type: str | T.DataType
+    type: str | T.DataType | Mapped
     nullable: bool = False
     primary_key: bool = False
     auto_inc: bool = False
@@ -27,7 +52,7 @@ class Col:
 
     @property
     def spark_type(self) -> T.DataType:
-        return self.type if isinstance(self.type, T.DataType) else T._parse_datatype_string(self.type)
+        return _type(self.type)
 
 
 @dataclass(frozen=True)
@@ -87,13 +112,21 @@ class Table:
 
     @classmethod
     def of_rows(cls, spark: SparkSession, rows: list[tuple]) -> DataFrame:
-        """An in-memory table; keys and unique columns are checked."""
+        """An in-memory table; keys and unique columns are checked, values of mapped types are encoded."""
+        kinds = [c.type for c in cls.cols().values()]
+        rows = [tuple(k.encode(v) if isinstance(k, Mapped) else v for k, v in zip(kinds, r, strict=True)) for r in rows]
         df = spark.createDataFrame(rows, cls.schema())
         broken = violations(cls, df)
         if broken:
             raise ValueError(f"{cls.name or cls.__name__}: {'; '.join(broken)}")
         return df
 
+    @classmethod
+    def read(cls, query: Query) -> list[dict[str, Any]]:
+        """The result of a query with the values of mapped columns (by name) decoded."""
+        kinds = {n: c.type for n, c in cls.cols().items() if isinstance(c.type, Mapped)}
+        return [{n: kinds[n].decode(v) if n in kinds else v for n, v in r.asDict().items()} for r in query.result()]
+
     @classmethod
     def follow(cls, query: Query, key: str, target: DataFrame, target_table: type[Table]) -> Query:
         """The target rows that a foreign key leads to, one for each row of ``query``."""

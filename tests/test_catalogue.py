@@ -40,6 +40,17 @@ def test_matches_sql(spark, duck, name):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["op_not_in", "op_not_in_empty", "op_not_in_null"])
+def test_not_in_is_an_equi_join(spark, name):
+    plan = catalogue.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_numbering_looks_into_an_array(spark):
+    plan = catalogue.queries()["op_zip_with_index"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map" not in plan.lower().replace("mapobjects", "")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["n_name", "o_orderpriority", "revenue"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -8,7 +8,7 @@ from tessera.plans import action as A
 from tessera.plans import dml
 from tessera.sources import meta
 from tessera.sources.plainsql import Reader, as_, sql, sqlu
-from tessera.sources.table import Catalog, Col, ForeignKey, Index, Table, violations
+from tessera.sources.table import Catalog, Col, ForeignKey, Index, Mapped, Table, jdbc, violations
 
 
 class Users(Table):
@@ -163,3 +163,78 @@ def test_actions(spark, users, tmp_path):
     assert A.statements(["CREATE TABLE made (a INT) USING parquet", "DROP TABLE made"]).run(spark) in (None, [])
     with pytest.raises(LookupError):
         A.unit.failed().run(spark)
+
+
+class Accounts(Table):
+    name = "accounts"
+    id = Col("bigint", primary_key=True, auto_inc=True)
+    owner = Col("string", length=8, unique=True)
+    state = Col(Mapped("int", {"open": 1, "closed": 0}.get, {1: "open", 0: "closed"}.get), default="open", nullable=True)
+    user = Col("bigint", nullable=True)
+    foreign_keys = {"who": ForeignKey(("user",), "users", ("id",))}
+    indexes = {"by_state": Index(("state",))}
+
+
+def test_declared_inserts(spark):
+    table = Accounts.of_rows(spark, [(3, "a", "closed", None)])
+    rows = spark.createDataFrame([(70, "b"), (71, "c")], "id bigint, owner string").coalesce(1)
+    assert [tuple(r) for r in dml.insert_into(Accounts, table, rows).orderBy("id").collect()] == [(3, "a", 0, None), (4, "b", 1, None), (5, "c", 1, None)]
+    after, new = dml.insert_into(Accounts, table, rows, force=True, returning=["id", "state"])
+    assert after.count() == 3 and sorted(tuple(r) for r in new.collect()) == [(70, 1), (71, 1)]
+    assert dml.insert_into(Accounts, table.limit(0), rows).agg({"id": "max"}).first()[0] == 2
+    assert Accounts.read(Accounts.query(after).sort_by(lambda r: r.id).take(2)) == [{"id": 3, "owner": "a", "state": "closed", "user": None}, {"id": 70, "owner": "b", "state": "open", "user": None}]
+
+
+def test_ddl_keeps_defaults_lengths_and_keys(spark):
+    spark.sql("DROP TABLE IF EXISTS accounts")
+    for text in dml.create_statements(Accounts):
+        spark.sql(text)
+    spark.sql("INSERT INTO accounts (id, owner) VALUES (1, 'x')")
+    assert [tuple(r) for r in spark.table("accounts").collect()] == [(1, "x", 1, None)]
+    with pytest.raises(Exception, match="8"):
+        spark.sql("INSERT INTO accounts (id, owner) VALUES (2, 'far too long')")
+    assert meta.primary_keys(spark, "accounts") == ["id"] and meta.best_row_identifier(spark, "accounts") == ["id"]
+    assert meta.imported_keys(spark, "accounts") == [("who", ("user",), "users", ("id",))]
+    assert ("accounts", "who", ("user",), ("id",)) in meta.exported_keys(spark, "users")
+    assert meta.cross_reference(spark, "users", "accounts") and not meta.cross_reference(spark, "orders", "accounts")
+    assert meta.indexes(spark, "accounts") == [("by_state", ("state",), False)]
+    assert meta.table_types(spark)["accounts"] == "MANAGED" and meta.catalogs(spark) and meta.procedures(spark) == []
+    declared, found = meta.model_of(Accounts), meta.model_of_session(spark, ["accounts"])
+    assert found.tables[0].foreign_keys == declared.tables[0].foreign_keys and found.tables[0].indexes == declared.tables[0].indexes
+    assert [(c.name, c.type, c.primary_key, c.auto_inc, c.unique, c.default, c.length) for c in found.tables[0].columns] == [(c.name, c.type, c.primary_key, c.auto_inc, c.unique, c.default, c.length) for c in declared.tables[0].columns]
+    names = {}
+    exec(meta.source_code(found), names)  # noqa: S102
+    made = names["Accounts"]
+    assert made.cols()["owner"].length == 8 and made.cols()["state"].default == 1 and made.cols()["id"].auto_inc and made.indexes["by_state"].columns == ("state",)
+    spark.sql("DROP TABLE accounts")
+
+
+def test_jdbc_and_federated_source(spark, users):
+    """A table of a database (Derby, in memory) joined with a DataFrame; its filter is pushed down."""
+    url = "jdbc:derby:memory:tessera"
+    rows = spark.createDataFrame([(1, "Moe"), (2, "Duff")], "user_id int, bar string")
+    rows.write.format("jdbc").options(url=f"{url};create=true", dbtable="bars").mode("overwrite").save()
+    found = jdbc(spark, url, "bars")
+    joined = Query.of(users).join(Query.of(found).filter(lambda b: b.user_id > 1)).on(lambda u, b: u.id == b.user_id).map(lambda r: (r[0].first, r[1].bar))
+    assert [tuple(r) for r in joined.result()] == [("Marge", "Duff")]
+    assert "PushedFilters: [*IsNotNull(USER_ID), *GreaterThan(USER_ID,1)]" in joined.statement() or "GreaterThan" in joined.statement()
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from tessera.plans import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
