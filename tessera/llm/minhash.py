@@ -1,7 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 * A document's features are its runs of five words (lower case, split at white space; a shorter text is one
-  run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)).
+  run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)) / ln(2 + N).
+  The logarithm is scaled, so that what a large group of copies shares doesn't become weightless against what tells
+  them apart: unscaled, near copies in a group of a third of all rows are no longer similar, share their buckets all
+  the same, and their comparison grows with the square of the group.
   Document frequencies count all documents, in a count-min sketch of ``DF_ROWS`` rows: what is read of it is never
   under the true number, and over it by a small share of N (some 450 shingles a document in 2**20 cells: 0.0004 N).
   The sketch doubles for every fourfold corpus, so that share falls as the corpus grows.
@@ -161,10 +164,11 @@ class Weights:
         return {"logs": self.logs, "n": self.n, "_tables": None}
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """1 + ln((1 + N) / (1 + df)) of each shingle."""
+        """1 + ln((1 + N) / (1 + df)) / ln(2 + N) of each shingle."""
         bits = self.logs.shape[1].bit_length() - 1
         least = np.minimum.reduce([self.logs[row][cells(h, row, bits)] for row in range(len(self.logs))])
-        return np.maximum(np.float32(1), np.float32(1 + np.log1p(self.n)) - least * np.float32(np.log(2) / 1024))
+        scale = 1 / np.log(2.0 + self.n)
+        return np.maximum(np.float32(1), np.float32(1 + np.log1p(self.n) * scale) - least * np.float32(np.log(2) / 1024 * scale))
 
     def tables(self) -> tuple[np.ndarray, ...]:
         if self._tables is None:

@@ -109,11 +109,11 @@ def test_document_frequencies_against_exact_ones(spark):
     n = sum(1 for f in found if f)
     h = np.array(list(true), np.uint64)
     df = np.array(list(true.values()))
-    exact = 1 + np.log((1 + n) / (1 + df))
+    exact = 1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)
     weights = minhash.Weights(*minhash.document_frequencies(docs))
     assert weights.n == n and np.quantile(np.abs(weights.of(h) - exact), 0.999) < 0.002
     narrow = minhash.Weights(*minhash.document_frequencies(docs, 12))
-    read = (1 + n) / np.exp(narrow.of(h) - 1) - 1
+    read = (1 + n) / np.exp((narrow.of(h) - 1) * np.log(2 + n)) - 1
     assert (read > df - 0.1).all() and np.quantile(read - df, 0.99) < 4 * len(h) / (1 << 12)
 
 
@@ -137,7 +137,7 @@ def test_recall_of_planted_near_copies(spark):
     rows = list(enumerate(rows + [prose(r, 200) for _ in range(40)]))
     grams = [Counter(zip(*(minhash.words(t)[j:] for j in range(5)), strict=False)) for _, t in rows]
     df = Counter(g for c in grams for g in c)
-    weight = {g: 1 + np.log((1 + len(rows)) / (1 + n)) for g, n in df.items()}
+    weight = {g: 1 + np.log((1 + len(rows)) / (1 + n)) / np.log(2 + len(rows)) for g, n in df.items()}
 
     def similarity(a, b):
         low = sum(min(a[g], b[g]) * weight[g] for g in a if g in b)
