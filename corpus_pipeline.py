@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept.  All but the last return the columns of ``documents``;
 ``n_chars`` follows the text.
+
+Null and empty texts pass every filter (as one empty window, one line, no shingle, no leak) and are packed as an end
+token; equal rows are one document to near-dedup, which keeps one of them, and rows of their own to the other
+stages; of ties the smallest doc_id stays, a null id before all others; long texts are worked on whole; other columns
+go along untouched up to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -28,5 +28,5 @@ def with_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
     # one number for every partition, empty ones too: the place in the array is the partition's number
     before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1)), initial=0))
-    moved = F.expr(f"array({', '.join(f'{n}L' for n in before)})").getItem(part.cast("int"))
+    moved = F.expr(f"array({', '.join(f'{n}L' for n in before)})")[part.cast("int")]
     return rows.withColumn(name, moved + F.col("__at").bitwiseAND((1 << ROW_BITS) - 1)).drop("__at")
