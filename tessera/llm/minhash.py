@@ -3,7 +3,7 @@
 * A document's features are its runs of five words (lower case, split at white space; a shorter text is one
   run).  A feature's weight is its count times its inverse document frequency, 1 + ln((1 + N) / (1 + df)) / ln(2 + N).
   The logarithm is scaled, so that what a large group of copies shares doesn't become weightless against what tells
-  them apart: unscaled, near copies in a group of a third of all rows are no longer similar, share their buckets all
+  them apart: unscaled, near copies in a group of a third of all rows can fall under the threshold, share their buckets all
   the same, and their comparison grows with the square of the group.
   Document frequencies count all documents, in a count-min sketch of ``DF_ROWS`` rows: what is read of it is never
   under the true number, and over it by a small share of N (some 450 shingles a document in 2**20 cells: 0.0004 N).
