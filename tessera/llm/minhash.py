@@ -55,6 +55,8 @@ SLOTS = 1 << 18
 REMEMBERED = 150_000
 #: Features of documents that a verifying worker remembers.
 KNOWN_FEATURES = 1_000_000
+#: Places of a block's index that are looked at at once.
+PLACES = 1_000_000
 SEED = 20100
 
 
@@ -282,6 +284,57 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
     return named.mapInArrow(run, "a binary, b binary")
 
 
+class Block:
+    """Members of a group, indexed by feature, and the components that the links found so far make of them."""
+
+    def __init__(self) -> None:
+        self.members: list[tuple[bytes, bytes]] = []
+        self.features: list[Features] = []
+        self.parent: dict[bytes, bytes] = {}
+        self.index: tuple[np.ndarray, ...] | None = None
+
+    def add(self, v: bytes, root: bytes, features: Features) -> None:
+        self.members.append((v, root))
+        self.features.append(features)
+
+    def find(self, x: bytes) -> bytes:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def similarities(self, features: Features) -> np.ndarray:
+        """Weighted Jaccard similarity with each member."""
+        if self.index is None:
+            ids = np.concatenate([f.ids for f in self.features])
+            order = np.argsort(ids, kind="stable")
+            owner = np.repeat(np.arange(len(self.features), dtype=np.int32), [len(f.ids) for f in self.features])
+            self.index = ids[order], owner[order], np.array([f.total for f in self.features])
+            self.features = []
+        ids, owner, total = self.index
+        begin = np.searchsorted(ids, features.ids, "left")
+        n = np.searchsorted(ids, features.ids, "right") - begin
+        shared, done, places = np.zeros(len(total)), 0, np.cumsum(n)
+        while done < len(n):  # so many features at a time that their places in the index fit into memory
+            upto = max(done + 1, int(np.searchsorted(places, (places[done - 1] if done else 0) + PLACES, "right")))
+            some = n[done:upto]
+            at = np.repeat(begin[done:upto] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            shared += np.bincount(owner[at], np.repeat(features.weight[done:upto], some), len(total))
+            done = upto
+        return shared / (features.total + total - shared)
+
+    def links(self, v: bytes, root: bytes, features: Features, least: float) -> list[tuple[bytes, bytes]]:
+        """Links of an outsider; of those between two components one."""
+        out = []
+        if self.members:
+            for i in np.nonzero(self.similarities(features) >= least)[0].tolist():
+                u, top = self.members[i]
+                if self.find(root) != self.find(top):
+                    out.append((v, u))
+                    self.parent[self.find(root)] = self.find(top)
+        return out
+
+
 def verify_blocks(members: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """Links between the outsiders and all members of large groups: ``members`` has key (the group), v, root, outside.
 
@@ -295,41 +348,23 @@ def verify_blocks(members: DataFrame, texts: DataFrame, weights: Weights, simila
     right = sized.select("key", "v", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("o"), own("mb").alias("m"))
     groups = sizes.agg(F.sum(F.col("mb") * F.col("ob"))).first()[0] or 0
     parts = max(1, min(MAX_PARTS, -(-groups // GROUPS_TO_TASK)))
-    dealt = left.unionByName(right).join(texts.select("v", "text"), "v").select("key", "o", "m", "left", "v", "root", "text").repartition(parts, "key", "o", "m").sortWithinPartitions("key", "o", "m")
+    # members come before outsiders, which are compared one by one as they come
+    dealt = left.unionByName(right).join(texts.select("v", "text"), "v").select("key", "o", "m", "left", "v", "root", "text").repartition(parts, "key", "o", "m").sortWithinPartitions("key", "o", "m", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        now, held = None, []
-
-        def close() -> list[tuple[bytes, bytes]]:
-            parent: dict[bytes, bytes] = {}
-
-            def find(x: bytes) -> bytes:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            links = []
-            rows = [(left, v, root, Features(t, weights, hashes)) for left, v, root, t in held]
-            for left, v, root, f in rows:
-                if left:
-                    for other, u, top, g in rows:
-                        if not other and find(root) != find(top) and f.similarity(g, similarity) >= similarity:
-                            links.append((v, u))
-                            parent[find(root)] = find(top)
-            return links
-
-        def out(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in range(2)], names=["a", "b"])
-
-        for batch in tidy(batches):
-            for key, o, m, left, v, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        now, block = None, Block()
+        for batch in slices(batches, "text", 2_000_000):
+            links: list[tuple[bytes, bytes]] = []
+            for key, o, m, is_left, v, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, o, m) != now:
-                    yield out(close())
-                    now, held = (key, o, m), []
-                held.append((left, v, root, text))
-        yield out(close())
+                    now, block = (key, o, m), Block()
+                features = Features(text, weights, hashes)
+                if is_left:
+                    links.extend(block.links(v, root, features, similarity))
+                else:
+                    block.add(v, root, features)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in range(2)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
