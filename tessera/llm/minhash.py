@@ -409,12 +409,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     # the large buckets of one main component hold much the same documents: each is dealt out once for all of them
     large = mixed_.where(F.col("n") > SMALL).select(F.col("main").alias("key"), "v", "root", "outside").distinct()
     more = stored(verify(across, texts, weights, similarity).unionByName(verify_blocks(large, texts, weights, similarity)))
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(links.unionByName(more))
+    # the links found late are between components: only these are joined further, not all links again
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("v").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    merged = components(ends).select(F.col("v").alias("root"), F.col("root").alias("top"))
 
-    node_class = nodes.select("v", "at").join(final, "v", "left").select("v", "at", F.coalesce("root", "v").alias("root"))
+    node_class = nodes.select("v", "at").join(roots, "v", "left").select("v", "at", F.coalesce("root", "v").alias("root")).join(merged, "root", "left").select("v", "at", F.coalesce("top", "root").alias("root"))
     heads = node_class.groupBy("root").agg(F.min("at").alias("head"))
     of_node = node_class.join(heads, "root").select("v", "head")
     out = signed.select("d", "x", "v").join(of_node, "v", "left").withColumn("head", F.coalesce("head", F.struct("d", "x")))
