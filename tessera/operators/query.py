@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tessera.operators.numbering import with_index
 
 _SORT = "__sort"
+#: NaN's band, as it is the greatest value.
+_LAST_BAND = 2**63 - 1
 
 
 class Ref:
@@ -456,6 +458,35 @@ class Join:
         a, b = self._sides()
         return Query(a.join(b, p(Ref(a.schema["_1"].dataType, F.col("_1")), Ref(b.schema["_2"].dataType, F.col("_2"))), self._how))
 
+    def on_range(self, value: Callable[[Ref], Column], low: Callable[[Ref], Column], high: Callable[[Ref], Column], width: float, p: Callable[[Ref, Ref], Column]) -> Query:
+        """As ``on`` for an inner join whose ``p`` implies that ``value`` of the right row lies from ``low`` to ``high`` of the left one.
+
+        Such values are cut into bands of ``width``; a left row goes to each band from ``low`` to ``high``, and an equal band joins the
+        equalities of ``p``.  So rows are only compared with those of the bands they reach, not with all that ``p``'s equalities leave,
+        and the work is spread by band.  ``p`` is still asked of every pair, and a pair meets in one band, that of ``value``: the result
+        is that of ``on(p)``, for any width.  A width of a fraction of the range is right; ranges of many bands are copied as often.
+
+        NULL is in no range.  NaN is the greatest value and equals itself; a range has to be finite or one infinite value.
+        """
+        if self._how != "inner":
+            raise ValueError("a range joins inner rows only")
+        if not width > 0:
+            raise ValueError("the width of a band is over 0")
+
+        def band(c: Column) -> Column:
+            # rounding and floor keep the order, so the band of a value in the range is one of the range's bands
+            d = c.cast("double")
+            return F.when(F.isnan(d), F.lit(_LAST_BAND)).otherwise(F.floor(d / F.lit(float(width))))
+
+        left, right = self._left._set(), self._right._set()
+        mine, other = Ref(self._left._schema), Ref(self._right._schema)
+        a = left.where(low(mine) <= high(mine)).select("*", F.explode(F.sequence(band(low(mine)), band(high(mine)))).alias("__band"))
+        a = a.select(F.struct(*(F.col(f"`{n}`") for n in self._left.columns)).alias("_1"), F.col("__band").alias("__reached"))
+        b = right.select(F.struct(*(F.col(f"`{n}`") for n in self._right.columns)).alias("_2"), band(value(other)).alias("__band"))
+        on = p(Ref(a.schema["_1"].dataType, F.col("_1")), Ref(b.schema["_2"].dataType, F.col("_2")))
+        # shuffled: a broadcast would leave all pairs to the few tasks that read a small file
+        return Query(a.join(b.hint("merge"), (F.col("__reached") == F.col("__band")) & on).select("_1", "_2"))
+
     def all(self) -> Query:
         """Without a condition: the cross product, with outer rows where the other side is empty."""
         a, b = self._sides()

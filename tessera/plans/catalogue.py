@@ -242,7 +242,8 @@ def op_join_monadic(c):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 5")
 def op_join_theta(c):
-    return c.query("part").join(c.query("part")).on(lambda a, b: (a.p_brand == b.p_brand) & (a.p_size < b.p_size) & P.between(b.p_retailprice, a.p_retailprice, a.p_retailprice + 5)).map(lambda r: {"a": r[0].p_partkey, "b": r[1].p_partkey})
+    near = lambda a, b: (a.p_brand == b.p_brand) & (a.p_size < b.p_size) & P.between(b.p_retailprice, a.p_retailprice, a.p_retailprice + 5)
+    return c.query("part").join(c.query("part")).on_range(lambda b: b.p_retailprice, lambda a: a.p_retailprice, lambda a: a.p_retailprice + 5, 1.25, near).map(lambda r: {"a": r[0].p_partkey, "b": r[1].p_partkey})
 
 
 @query("SELECT o_orderkey, l_partkey, l_orderkey IS NOT NULL AS has FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON o_orderkey = l_orderkey")

@@ -46,6 +46,14 @@ def test_not_in_is_an_equi_join(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_theta_join_meets_by_price_band(spark):
+    # the tables here are small enough to be broadcast, which would compare all parts of a brand in the few tasks that read them
+    plan = catalogue.queries()["op_join_theta"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(keys) == 1 and "__band" in keys[0] and "p_brand" in keys[0] and "Broadcast" not in plan
+    assert "p_name" not in plan
+
+
 def test_numbering_looks_into_an_array(spark):
     plan = catalogue.queries()["op_zip_with_index"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "map" not in plan.lower().replace("mapobjects", "")

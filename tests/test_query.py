@@ -38,6 +38,42 @@ def test_join_filter_sort(tables):
     assert values(q) == [("Colombian", "Groundsville"), ("Colombian_Decaf", "Groundsville"), ("French_Roast", "Mendocino")]
 
 
+def test_range_join_is_the_join(spark):
+    inf, nan = float("inf"), float("nan")
+    prices = [0.0, -0.0, 5.0, 4.999999999999999, 5.000000000000001, 1.25, -1.25, -3.75, 900.1, 905.1, 905.1000000000001, 1e15, 1e15 + 5, 1e300, inf, -inf, nan, None]
+    rows = [(7 * i + n, brand, size, p) for i, p in enumerate(prices) for n, (brand, size) in enumerate([("x", 1), ("x", 2), ("x", 2), ("y", 3), ("y", None), (None, 1), (None, 2)])]
+    parts = Query.of(spark.createDataFrame(rows, "key int, brand string, size int, price double"))
+
+    def p(a, b):
+        return (a.brand == b.brand) & (a.size < b.size) & b.price.between(a.price, a.price + 5)
+
+    pairs = parts.join(parts)
+    plain = sorted(values(pairs.on(p).map(lambda r: (r[0].key, r[1].key))))
+    assert len(plain) > 50
+    for width in (0.3, 1.25, 5, 1000):
+        q = pairs.on_range(lambda b: b.price, lambda a: a.price, lambda a: a.price + 5, width, p)
+        assert q.columns == ["_1", "_2"]
+        assert sorted(values(q.map(lambda r: (r[0].key, r[1].key)))) == plain
+
+
+def test_range_join_of_whole_numbers(tables):
+    q = tables["ids"].join(tables["t3"])
+
+    def p(i, t):
+        return t.b.between(i.id - 1, i.id + 1)
+
+    found = q.on_range(lambda t: t.b, lambda i: i.id - 1, lambda i: i.id + 1, 2, p)
+    assert sorted(values(found.map(lambda r: (r[0].id, r[1].a, r[1].b)))) == sorted(values(q.on(p).map(lambda r: (r[0].id, r[1].a, r[1].b))))
+    # a range whose end is before its start has nothing
+    assert q.on_range(lambda t: t.b, lambda i: i.id + 1, lambda i: i.id - 1, 2, lambda i, t: t.b.between(i.id + 1, i.id - 1)).result() == []
+
+
+def test_range_join_asks_for_an_inner_join_and_a_width(tables):
+    for q, width in ((tables["t3"].join_left(tables["t2"]), 1), (tables["t3"].join(tables["t2"]), 0), (tables["t3"].join(tables["t2"]), float("nan"))):
+        with pytest.raises(ValueError):
+            q.on_range(lambda b: b.b, lambda a: a.b, lambda a: a.b + 1, width, lambda a, b: b.b.between(a.b, a.b + 1))
+
+
 def test_sorts_compose(tables):
     assert values(tables["fusion"].sort_by(lambda r: r.b).sort_by(lambda r: desc(r.a)).map(lambda r: r.id)) == [(3,), (1,), (2,)]
     # the earlier key still breaks ties after a projection that drops it
